@@ -14,7 +14,10 @@ def registrations(log: DataFrame, interval_ms: int, slots: int, shards: int, cap
     """Each SET with a ttl: ticks from the epoch, steps, slot, firing tick, and whether its slot was full.
 
     Ranks count the registrations of a (shard, firing tick); a tick is bounded by what one interval registers.
+    An interval or a number of slots of zero or less switches the wheel off: nothing registers.
     """
+    if interval_ms <= 0 or slots <= 0:
+        return registrations(log.limit(0), 1, 1, shards, capacity)
     t = log.filter((F.col("op") == "SET") & (F.col("ttl_ms") > 0))
     tick = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / interval_ms)
     rows = t.select("seq", "key", "ts", "ttl_ms", "expires_at", shard(F.col("key"), shards).alias("shard"), tick.alias("tick"), F.least(F.floor(F.col("ttl_ms") / interval_ms), F.lit(slots - 1)).alias("steps"))

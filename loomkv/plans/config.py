@@ -8,6 +8,8 @@ from dataclasses import dataclass, fields
 
 UNITS = {"": 1, "kib": 1 << 10, "mib": 1 << 20, "gib": 1 << 30, "kb": 10**3, "mb": 10**6, "gb": 10**9}
 
+LEVELS = ("debug", "info", "warn", "error")
+
 
 def parse_size(text: str) -> int:
     m = re.fullmatch(r"\s*([0-9]+)([kmg]i?b)?\s*", text.lower())
@@ -24,12 +26,15 @@ class EngineConfig:
     max_message_bytes: int = 16 << 20
     max_mem_bytes: int = 0
     encryption_key: str = ""
+    log_level: str = "info"
 
     def __post_init__(self) -> None:
         if self.shards < 1:
             raise ValueError("at least one shard")
         if self.encryption_key and len(self.encryption_key.encode()) != 32:
             raise ValueError("the encryption key must have 32 bytes")
+        if self.log_level.lower() not in LEVELS:
+            raise ValueError(f"unknown log level {self.log_level!r}")
 
     @classmethod
     def load(cls, given: dict | None = None, env: dict | None = None, prefix: str = "LOOMKV_") -> EngineConfig:

@@ -14,7 +14,11 @@ def with_expiry(log: DataFrame) -> DataFrame:
 
 
 def from_events(spark: SparkSession, sf_dir: str) -> DataFrame:
-    e = spark.read.parquet(f"{sf_dir}/events.parquet")
+    return commands(spark.read.parquet(f"{sf_dir}/events.parquet"))
+
+
+def commands(e: DataFrame) -> DataFrame:
+    """Events, in a table or a stream, as commands."""
     is_set = F.col("event_type").isin("signup", "purchase")
     return with_expiry(
         e.select(

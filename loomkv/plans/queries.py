@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomkv.functions import latency
+from loomkv.functions import latency, replies
 from loomkv.functions import text as T
 from loomkv.functions.routing import fnv1a32, shard
 from loomkv.operators import asof, crypto, expiry, memory, state
@@ -396,6 +396,31 @@ def text_functions(spark, d):
     return c.select(F.col("c_custkey").alias("id"), (F.lower("c_name") == F.lower(F.upper("c_name"))).alias("folds"), T.token(padded).alias("trimmed"), F.octet_length("c_name").alias("n_bytes"))
 
 
+@query(f"""{RESOLVED}, h AS (SELECT *, coalesce(pop = 'SET' AND (pexp IS NULL OR ts <= pexp), false) AS hit FROM p)
+SELECT seq, CASE op WHEN 'SET' THEN '+OK' WHEN 'DEL' THEN ':' || hit::INT WHEN 'GET' THEN CASE WHEN hit THEN '$' || strlen(pvalue) || chr(13) || chr(10) || pvalue ELSE '$-1' END END || chr(13) || chr(10) AS reply FROM h""")
+def resp_replies(spark, d):
+    p = F.col("prev")
+    hit = F.coalesce((p["op"] == "SET") & (p["expires_at"].isNull() | (F.col("ts") <= p["expires_at"])), F.lit(False))
+    return asof.with_previous(from_events(spark, d)).select("seq", replies.reply(F.col("op"), hit, p["value"]).alias("reply"))
+
+
+@query(f"""{_ARGS_SQL}, e AS (SELECT *, CASE WHEN upper(name) NOT IN ('GET','SET','DEL','PING','COMMAND') THEN 'ERR unknown command ''' || name || ''''
+  WHEN (upper(name) = 'GET' AND n_args <> 2) OR (upper(name) = 'SET' AND n_args NOT IN (3, 5)) OR (upper(name) = 'DEL' AND n_args < 2) THEN 'ERR wrong number of arguments for ''' || lower(name) || ''' command' END AS bad FROM a)
+SELECT seq, CASE WHEN bad IS NOT NULL THEN '-' || bad || chr(13) || chr(10) WHEN upper(name) = 'PING' THEN CASE WHEN n_args > 1 THEN '$' || strlen(amount) || chr(13) || chr(10) || amount || chr(13) || chr(10) ELSE '+PONG' || chr(13) || chr(10) END
+  WHEN upper(name) = 'COMMAND' THEN '*0' || chr(13) || chr(10) END AS reply FROM e""")
+def keyless_replies(spark, d):
+    return _arguments(spark, d).select("seq", replies.keyless(F.col("name"), F.col("n_args"), F.col("amount")).alias("reply"))
+
+
+@query(f"{LOG} SELECT key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE op <> 'GET') WHERE rn = 1")
+def stream_state(spark, d):
+    """The state kept by a stream over the events: the last change of each key that it gave out, expiries aside."""
+    from loomkv.streaming.state import run_to_end
+
+    out = run_to_end(spark, d).filter("op <> 'EXPIRED'")
+    return out.groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("m")).select("key", "m.*")
+
+
 @query()
 def workload_keys(spark, d):
     """Keys drawn with a power law, from hashes of row numbers in place of a random stream."""

@@ -1,12 +1,19 @@
-"""The write-ahead log as a Spark data source: ``shard_NNN.db`` files, one partition per file, never truncated."""
+"""The write-ahead log as a Spark data source: ``shard_NNN.db`` files, one partition per file, never truncated.
+
+The format has no marks to split a file at, so a shard is one task, which streams its file.  The data source reads
+and writes a folder that every executor has mounted; ``read_wal_store`` takes any path that Spark reads.
+"""
 
 from __future__ import annotations
 
 import glob
+import io
+import itertools
 import os
 import re
 from collections.abc import Iterator
 
+import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
@@ -14,6 +21,7 @@ from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWrite
 from loomkv.sources.wire import decode_records, encode_record, valid_offset
 
 SCHEMA = "shard int, offset long, op string, key binary, value binary, expiry_ns long, valid_offset long, file_size long"
+SHARD = re.compile(r"shard_(\d+)\.db$")
 
 
 class _File(InputPartition):
@@ -31,11 +39,12 @@ class WalReader(DataSourceReader):
     def read(self, partition: _File) -> Iterator[tuple]:
         if not partition.path:
             return
-        with open(partition.path, "rb") as f:
-            data = f.read()
-        shard, end = int(re.search(r"shard_(\d+)\.db$", partition.path)[1]), valid_offset(data)
-        for at, op, key, value, expiry in decode_records(data):
-            yield shard, at, op, key, value, expiry, end, len(data)
+        shard, size = int(SHARD.search(partition.path)[1]), os.path.getsize(partition.path)
+        with open(partition.path, "rb", buffering=1 << 20) as f:
+            end = valid_offset(f, size)
+            f.seek(0)
+            for at, op, key, value, expiry in decode_records(f, size):
+                yield shard, at, op, key, value, expiry, end, size
 
 
 class WalWriter(DataSourceWriter):
@@ -77,6 +86,23 @@ def read_wal(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.format("kvwal").load(path)
 
 
+def read_wal_store(spark: SparkSession, path: str) -> DataFrame:
+    """The same rows from any store that Spark reads; a file of up to 2 GB is one row on its way."""
+    files = spark.read.format("binaryFile").option("pathGlobFilter", "shard_*.db").load(path)
+
+    def decode(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        names = [x.split()[0] for x in SCHEMA.split(", ")]
+        for some_files in parts:
+            for where, data in zip(some_files["path"], some_files["content"], strict=True):
+                shard, size = int(SHARD.search(where)[1]), len(data)
+                end = valid_offset(io.BytesIO(data), size)
+                rows = ((shard, *x, end, size) for x in decode_records(io.BytesIO(data), size))
+                while some := list(itertools.islice(rows, 10_000)):
+                    yield pd.DataFrame(some, columns=names)
+
+    return files.select("path", "content").mapInPandas(decode, SCHEMA)
+
+
 def write_wal(rows: DataFrame, path: str, shards: int) -> None:
     """Append (shard, seq, op, key, value, expiry_ns), each shard in order of ``seq``."""
     rows.sparkSession.dataSource.register(WalSource)

@@ -2,12 +2,16 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
+from loomkv.plans.log import commands
+from loomkv.sources.folders import shared_dir
+
 OUT = "key string, seq long, op string, value string, expires_ms long"
 
 
@@ -58,6 +62,23 @@ def stream_state(log: DataFrame, delay: str = "0 seconds") -> DataFrame:
     return keyed.transformWithStateInPandas(KeyState(), OUT, "Update", "EventTime")
 
 
+def run_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All changes of the state over the events present now: available-now trigger, each batch appended to Parquet."""
+    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
+    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    folder = f"{shared_dir(spark)}/loomkv/stream-{uuid.uuid4().hex}"
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    before = spark.conf.get(provider)
+    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        changes = stream_state(commands(events))
+        writer = changes.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
+        writer.foreachBatch(lambda part, n: part.write.mode("overwrite").parquet(f"{folder}/changes/batch={n}")).start().awaitTermination()
+    finally:
+        spark.conf.set(provider, before)
+    return spark.read.schema(f"{OUT}, batch long").parquet(f"{folder}/changes")
+
+
 def op_rates(log: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Commands per window and kind; batch or streaming (extension)."""
     from pyspark.sql import functions as F
