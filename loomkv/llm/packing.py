@@ -152,12 +152,13 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     cut = materialise(cut, "pieces")
     full = cut.filter(F.col("length") == capacity).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rest = cut.filter(F.col("length") < capacity)
-    buckets = min(4096, max(8, rest.count() // 4_000_000))
+    buckets = min(4096, max(64, rest.count() // 4_000_000))
     rest = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
-    # at most capacity * buckets rows, whatever the number of pieces
+    # at most capacity * buckets numbers, whatever the number of pieces
     counts = rest.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "bucket"])
     histogram = {int(k): int(v) for k, v in counts.groupby("length")["n"].sum().items()}
-    firsts = {(int(r.length), int(r.bucket)): int(r.first) for r in counts.assign(first=counts.groupby("length")["n"].cumsum() - counts["n"]).itertuples()}
+    firsts = np.zeros((capacity, buckets), np.int64)
+    firsts[counts["length"], counts["bucket"]] = counts.groupby("length")["n"].cumsum() - counts["n"]
     known = cut.sparkSession.sparkContext.broadcast((places(plan(histogram, capacity)), firsts))
 
     @F.pandas_udf("sequence_id long, offset long")
@@ -167,7 +168,7 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
         lengths, buckets, numbers = (x.to_numpy() for x in (length, bucket, number))
         for k in np.unique(lengths):
             here = np.flatnonzero(lengths == k)
-            ordinal = numbers[here] - 1 + np.array([first[(int(k), int(b))] for b in buckets[here]])
+            ordinal = numbers[here] - 1 + first[k, buckets[here]]
             rows = at[int(k)]
             hit = rows[np.searchsorted(rows[:, 0], ordinal, "right") - 1]
             out[here, 0], out[here, 1] = hit[:, 1] + ordinal - hit[:, 0], hit[:, 2]

@@ -24,27 +24,30 @@ KINDS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
     "access": (r"AKIA[A-Z0-9]{16,}", 0, 20),
     "hex": (r"[0-9a-f]{24,}", 0, 24),
-    "owned": (r"(?<![A-Za-z0-9_-])(?=[A-Za-z0-9_-]*[0-9])(?=[A-Za-z0-9_-]*[A-Za-z])[A-Za-z0-9_-]{20,}", 0, 20),
+    "owned": (r"[A-Za-z0-9_-]{20,}", 0, 20),
 }
+#: What an owned token must have besides its length.
+MIXED = (r"[0-9]", r"[A-Za-z]")
 ORDER = {k: i for i, k in enumerate(KINDS)}
 
 
 def _matches(text: Column, kind: str) -> Column:
     """(kind, k, gap, length, secret hash, long enough) of each match; gap counts from the match before."""
     pattern, group, least = KINDS[kind]
-    found = F.arrays_zip(
-        F.split(text, pattern, -1).alias("gap"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"),
-        F.regexp_extract_all(text, F.lit(pattern), F.lit(group)).alias("secret"),
-    )
+    found = F.arrays_zip(F.split(text, pattern, -1).alias("gap"), F.regexp_extract_all(text, F.lit(pattern), F.lit(0)).alias("all"))
     real = F.filter(found, lambda x: x["all"].isNotNull())
-    rows = F.transform(
-        real,
-        lambda x, i: F.struct(
+
+    def row(x: Column, i: Column) -> Column:
+        secret = F.regexp_extract(x["all"], pattern, group) if group else x["all"]
+        ok = F.char_length(secret) >= least
+        for need in MIXED if kind == "owned" else ():
+            ok &= secret.rlike(need)
+        return F.struct(
             F.lit(ORDER[kind]).alias("kind"), i.alias("k"), F.char_length(x["gap"]).alias("gap"), F.char_length(x["all"]).alias("length"),
-            F.sha2(x["secret"], 256).alias("secret"), (F.char_length(x["secret"]) >= least).alias("ok"),
-        ),
-    )
+            F.sha2(secret, 256).alias("secret"), ok.alias("ok"),
+        )
+
+    rows = F.transform(real, row)
     return F.when(text.rlike(pattern), rows)
 
 
@@ -113,3 +116,29 @@ def redact(docs: DataFrame) -> DataFrame:
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_documents(table(spark, sf_dir, "documents"))
+
+
+def _kind_sql(kind: str) -> str:
+    pattern, group, least = KINDS[kind]
+    pattern = pattern.replace("'", "''")
+    secret = f"regexp_extract(s, '{pattern}', {group})"
+    mixed = "".join(f" AND regexp_matches(s, '{x}')" for x in (MIXED if kind == "owned" else ()))
+    return f"""SELECT n, '{kind}' AS kind, {ORDER[kind]} AS ord, e - length(s) AS a, e AS b, sha256({secret}) AS h, length({secret}) >= {least}{mixed} AS ok FROM (
+  SELECT n, s, sum(length(g) + length(s)) OVER (PARTITION BY n ORDER BY k) AS e FROM (
+    SELECT n, unnest(m) AS s, unnest(list_slice(string_split_regex(text, '{pattern}'), 1, len(m))) AS g, unnest(range(len(m))) AS k
+    FROM (SELECT n, text, regexp_extract_all(text, '{pattern}') AS m FROM d) WHERE len(m) > 0))"""
+
+
+SQL = f"""
+WITH d AS (SELECT row_number() OVER () AS n, doc_id, source, coalesce(text, '') AS text FROM documents),
+f AS ({" UNION ALL ".join(map(_kind_sql, KINDS))}),
+p AS (SELECT f.*, coalesce(source, chr(1)) AS repository, coalesce(split_part(source, '/', 1), chr(1)) AS owner FROM f JOIN d USING (n) WHERE ok),
+o AS (SELECT h, count(DISTINCT owner) > {COPIED_OWNERS} AS copied FROM p GROUP BY h),
+x AS (SELECT n, kind, ord, a, b, copied FROM p JOIN o USING (h)),
+k AS (SELECT * FROM x WHERE ord < 3 OR (NOT copied AND NOT EXISTS (SELECT 1 FROM x y WHERE y.n = x.n AND y.ord < 3 AND y.a < x.b AND x.a < y.b))),
+g AS (SELECT n, count(*) FILTER (kind = 'assign') AS n_assign, count(*) FILTER (kind = 'access') AS n_access, count(*) FILTER (kind = 'hex') AS n_hex,
+  string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, ord) FILTER (ord < 3) AS base, string_agg(kind || ':' || a::BIGINT || ':' || b::BIGINT, ',' ORDER BY a, ord) AS spans,
+  count(*) FILTER (NOT copied) AS n_live FROM k GROUP BY n)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+  coalesce(spans, '') AS spans, coalesce(n_live, 0) AS n_live FROM d LEFT JOIN g USING (n)
+"""

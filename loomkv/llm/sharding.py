@@ -113,7 +113,7 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     size = F.octet_length(text).cast("long") + ROW_BYTES
     rows = materialise(docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), h.alias("h")), "sized")
     cuts, _ = cut_points(rows.select("h", "size"), shards)
-    buckets = min(4096, max(8, rows.count() // 2_000_000))
+    buckets = min(4096, max(64, rows.count() // 2_000_000))
     put = rows.withColumns({"shard": shard_of(F.col("h"), cuts), "bucket": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int")})
     # a row per shard and bucket
     counts = put.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))

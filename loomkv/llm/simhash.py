@@ -50,14 +50,14 @@ def fingerprint(text: str | None, shingle: int = 4) -> int:
 
 
 def fingerprints(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, digest, fp): fp is the fingerprint as a signed long, digest tells texts of one doc_id apart."""
 
     @F.pandas_udf("long")
     def fp(texts: Iterator[pd.Series]) -> Iterator[pd.Series]:
         for part in texts:
             yield pd.Series(np.array([fingerprint(t, shingle) for t in part], np.uint64).view(np.int64))
 
-    return docs.select("doc_id", fp("text").alias("fp"))
+    return docs.select("doc_id", F.xxhash64("text").alias("digest"), fp("text").alias("fp"))
 
 
 def _blocks(free: list[int], n: int) -> list[int]:
@@ -198,13 +198,16 @@ def links(distinct_fp: DataFrame, budget: int = BUDGET, hot: int = HOT_BUCKET) -
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
-    """(doc_id, fp, component_id, class_size): component_id is the smallest doc_id reachable over links."""
+    """(doc_id, digest, fp, root, component_id, class_size): component_id is the smallest doc_id reachable over links.
+
+    ``root``, the least fingerprint of the component, names it also where it has no doc_id.
+    """
     prints = materialise(fingerprints(docs, shingle), "fp")
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("class_size")), "classes")
     roots = connected_components(links(classes.select("fp")))
     named = materialise(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "class_size", F.coalesce("root", "fp").alias("root")), "named")
     ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(named.join(ids, "root").select("fp", "component_id", "class_size"), "fp").select("doc_id", "fp", "component_id", "class_size")
+    return prints.join(named.join(ids, "root"), "fp").select("doc_id", "digest", "fp", "root", "component_id", "class_size")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
