@@ -23,7 +23,7 @@ WINDOW = 8
 MIN_GROUP = 50
 SPREAD = 5.0
 #: A ratio and the limit under which it never fails.
-FLOORS = {"symbol_ratio": 0.04, "dup_line_ratio": 0.5, "upper_ratio": 0.35}
+FLOORS = {"symbol_ratio": 0.04, "dup_line_ratio": 0.5, "upper_ratio": 0.35, "stutter_ratio": 0.3}
 
 
 def _covered(places: Column, n: int) -> Column:
@@ -48,6 +48,11 @@ def _repeat_words(words: Column, n: int = WINDOW) -> Column:
     return F.when(F.size(words) < n, F.lit(0).cast("long")).otherwise(bind(hashes, marked))
 
 
+def _stutters(words: Column) -> Column:
+    """Words equal to the word before."""
+    return F.size(F.filter(words, lambda w, i: w == F.get(words, i - 1))).cast("long")
+
+
 def measures(docs: DataFrame) -> DataFrame:
     """(doc_id, lang, source, counts and ratios) per document row."""
     text = F.coalesce("text", F.lit(""))
@@ -56,7 +61,7 @@ def measures(docs: DataFrame) -> DataFrame:
         "doc_id",
         "lang",
         "source",
-        bind(F.array_remove(F.split(text, BLANKS), ""), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words"))).alias("w"),
+        bind(F.array_remove(F.split(text, BLANKS), ""), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), _repeat_words(w).alias("n_repeat_words"), _stutters(w).alias("n_stutters"))).alias("w"),
         (F.char_length(text) - F.regexp_count(text, F.lit(r"[\x20\x09-\x0D]"))).cast("long").alias("word_chars"),
         F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"),
         F.regexp_count(text, F.lit(r"\p{Lu}")).cast("long").alias("n_upper"),
@@ -68,6 +73,7 @@ def measures(docs: DataFrame) -> DataFrame:
         (F.col("n_symbols") / chars).alias("symbol_ratio"),
         (F.col("l.dup") / F.greatest(F.col("l.n"), F.lit(1))).alias("dup_line_ratio"),
         (F.col("n_upper") / chars).alias("upper_ratio"),
+        (F.col("w.n_stutters") / F.greatest(F.col("w.n_words"), F.lit(1))).alias("stutter_ratio"),
     )
 
 
