@@ -3,6 +3,8 @@
 The posterior of a language adds, in logs: the tempered likelihood of the text under byte-trigram models, the
 declared language of the markup (right with probability ``DECLARED_RIGHT``), the address suffix, and the host's
 prior.  Host priors come from one grouped count over all rows and are smoothed up the levels host, domain, all.
+A text is rejected when it has no letters, when evenly drawn trigrams explain it better than any language, or when
+no language reaches half of the posterior.
 
 Defined results: a null, empty or letterless text has the language of its other evidence and is rejected; a null
 declaration or host adds nothing of its own; ties go to the first language in order; repeated rows return each for
@@ -28,13 +30,17 @@ SUFFIX_RIGHT = 0.8
 SUFFIXES = {"de": "de", "at": "de", "fr": "fr", "es": "es", "mx": "es", "ar": "es", "uk": "en", "us": "en", "au": "en", "ie": "en"}
 #: Pseudo-counts that a level takes from the level above.
 SMOOTHING = 20.0
-#: Trigrams after which further text adds no more weight, and the likelihood a text must reach.
-TEMPER, LEAST_BYTES = 60.0, 100
+#: Trigrams after which further text adds no more weight, and trigrams from which on a text can be noise.
+TEMPER, NOISE_FROM = 60.0, 30
+LEAST_CONFIDENCE = 0.5
+_OTHER = bytes(x for x in range(128) if not chr(x).isalpha())
+_LETTERS = bytes.maketrans(_OTHER, b" " * len(_OTHER))
 
 
 def codes(text: str) -> np.ndarray:
-    """Hash buckets of the byte trigrams of the lower-cased text, with a blank at either end."""
-    b = np.frombuffer(f" {text.lower()} ".encode("utf-8", "replace"), np.uint8).astype(np.uint32)
+    """Hash buckets of the byte trigrams of the lower-cased runs of letters, with a blank at either end of each."""
+    runs = text.lower().encode("utf-8", "replace").translate(_LETTERS).split()
+    b = np.frombuffer(b" ".join([b"", *runs, b""]), np.uint8).astype(np.uint32)
     return ((b[:-2] * 73_856_093) ^ (b[1:-1] * 19_349_663) ^ (b[2:] * 83_492_791)) % BUCKETS
 
 
@@ -47,22 +53,17 @@ def domain_of(host: Column) -> Column:
     return F.substring_index(host, ".", -2)
 
 
-def fit_text_models(rows: DataFrame) -> tuple[list[str], np.ndarray, float]:
-    """(languages, log probabilities [bucket, language], least mean log likelihood) from a bounded sample."""
+def fit_text_models(rows: DataFrame) -> tuple[list[str], np.ndarray]:
+    """(languages, log probabilities [bucket, language]) from a bounded sample."""
     good = rows.filter(F.col("declared").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= MODEL_BYTES))
-    keys = good.select(F.xxhash64("text").alias("k")).orderBy("k").limit(MODEL_ROWS)
+    keys = good.select(F.xxhash64("text").alias("k")).distinct().orderBy("k").limit(MODEL_ROWS)  # copies count once
     edge = keys.agg(F.max("k")).first()[0]
     sample = good.filter(F.xxhash64("text") <= F.lit(edge if edge is not None else 0)).dropDuplicates(["text"]).limit(MODEL_ROWS).select("declared", "text").toPandas()
     langs = sorted(sample["declared"].unique().tolist())
     counts = np.full((BUCKETS, max(1, len(langs))), 0.3)
-    coded = [codes(t) for t in sample["text"]]
-    for lang, c in zip(sample["declared"], coded, strict=True):
-        counts[:, langs.index(lang)] += np.bincount(c, minlength=BUCKETS)
-    logs = np.log(counts / counts.sum(0)).astype(np.float32)
-    own = [float(logs[c].mean(0).max()) for t, c in zip(sample["text"], coded, strict=True) if len(t.encode()) >= LEAST_BYTES]
-    # junk makes a heavy lower tail, so the spread is taken above the median
-    least = float(np.median(own) - 30 * (np.quantile(own, 0.84) - np.median(own))) if own else -1e9
-    return langs, logs, least
+    for lang, text in zip(sample["declared"], sample["text"], strict=True):
+        counts[:, langs.index(lang)] += np.bincount(codes(text), minlength=BUCKETS)
+    return langs, np.log(counts / counts.sum(0)).astype(np.float32)
 
 
 def host_priors(rows: DataFrame, langs: list[str]) -> DataFrame:
@@ -82,7 +83,7 @@ def host_priors(rows: DataFrame, langs: list[str]) -> DataFrame:
 
 def identify(rows: DataFrame) -> DataFrame:
     """``rows`` (key, text, declared, host) to (key, pred_lang, confidence, text_lang, kept)."""
-    langs, logs, least = fit_text_models(rows)
+    langs, logs = fit_text_models(rows)
     if not langs:
         langs, logs = ["und"], np.zeros((BUCKETS, 1), np.float32)
     known = rows.sparkSession.sparkContext.broadcast(logs)
@@ -94,10 +95,10 @@ def identify(rows: DataFrame) -> DataFrame:
         for part in texts:
             out = []
             for t in part:
-                if not t:
-                    out.append((np.zeros(n, np.float32), -1e9, 0, False))
+                c = codes(t) if t else ()
+                if not len(c):
+                    out.append((np.zeros(n, np.float32), 0.0, 0, False))
                     continue
-                c = codes(t)
                 total = np.zeros(n)
                 for at in range(0, len(c), 1 << 18):
                     total += table_[c[at : at + (1 << 18)]].sum(0, dtype=np.float64)
@@ -124,13 +125,13 @@ def identify(rows: DataFrame) -> DataFrame:
     scored = joined.withColumn("s", F.array(*parts)).withColumn("best", F.array_max("s"))
     weight = F.aggregate(F.transform("s", lambda x: F.exp(x - F.col("best"))), F.lit(0.0), lambda a, x: a + x)
     names = F.array(*map(F.lit, langs))
-    strange = (F.col("t.n") >= LEAST_BYTES) & (F.col("t.mean") < F.lit(least))
+    noise = (F.col("t.n") >= NOISE_FROM) & (F.col("t.mean") < -float(np.log(BUCKETS)))
     return scored.select(
         "key",
         F.get(names, (F.array_position("s", F.col("best")) - 1).cast("int")).alias("pred_lang"),
         (1.0 / weight).alias("confidence"),
         F.get(names, (F.array_position("t.scores", F.array_max("t.scores")) - 1).cast("int")).alias("text_lang"),
-        (F.col("t.letters") & ~strange).alias("kept"),
+        (F.col("t.letters") & ~noise & (1.0 / weight >= LEAST_CONFIDENCE)).alias("kept"),
     )
 
 

@@ -96,10 +96,13 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 
 
 def redact(docs: DataFrame) -> DataFrame:
-    """``docs`` with every span of a base kind or an owned token replaced by ``[SECRET]``; n_chars follows."""
+    """``docs`` with every span of a base kind or an owned token replaced by ``[SECRET]``; n_chars follows.
+
+    Columns may have any names but ``loomkv_row``, ``loomkv_spans`` and ``hit_row``.
+    """
     keyed = materialise(docs.withColumn("loomkv_row", F.monotonically_increasing_id()), "rows")
     scanned = scan(keyed.select(F.col("loomkv_row").alias("doc_id"), "text", "source"))
-    hit = spans(scanned).join(scanned.select("row", F.col("doc_id").alias("hit_row")), "row").filter(F.size("spans") > 0).select("hit_row", "spans")
+    hit = spans(scanned).join(scanned.select("row", F.col("doc_id").alias("hit_row")), "row").filter(F.size("spans") > 0).select("hit_row", F.col("spans").alias("loomkv_spans"))
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -107,10 +110,10 @@ def redact(docs: DataFrame) -> DataFrame:
         part = F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), gap), F.when(s["start"] >= acc["at"], F.lit("[SECRET]")).otherwise(F.lit("")))
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), part.alias("out"))
 
-    whole = F.aggregate("spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))))
-    joined = keyed.join(hit, F.col("loomkv_row") == F.col("hit_row"), "left").withColumn("text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(whole))
+    whole = F.aggregate("loomkv_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))))
+    joined = keyed.join(hit, F.col("loomkv_row") == F.col("hit_row"), "left").withColumn("text", F.when(F.col("loomkv_spans").isNull(), F.col("text")).otherwise(whole))
     if "n_chars" in docs.columns:
-        joined = joined.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
+        joined = joined.withColumn("n_chars", F.when(F.col("loomkv_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return joined.select(*docs.columns)
 
 
