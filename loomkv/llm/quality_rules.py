@@ -84,11 +84,12 @@ def limits(measured: DataFrame) -> DataFrame:
     group = materialise(group, "sketches")
     merged = lambda g: g.agg(F.sum("n").alias("m"), *(F.kll_merge_agg_double(x).alias(f"up_{x}") for x in names))
     by_lang = merged(group.groupBy(F.col("lang").alias("of_lang")))
-    whole = merged(group.groupBy()).select(*(F.col(f"up_{x}").alias(f"top_{x}") for x in names))
-    joined = group.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang"))).join(F.broadcast(whole))
+    whole = merged(group.groupBy()).first()  # one sketch for each ratio
+    top = {x: F.lit(bytearray(whole[f"up_{x}"])) if whole[f"up_{x}"] is not None else F.lit(None).cast("binary") for x in names}
+    joined = group.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")))
 
     def limit(x: str) -> Column:
-        sketch = F.when(F.col("n") >= MIN_GROUP, F.col(x)).when(F.col("m") >= MIN_GROUP, F.col(f"up_{x}")).otherwise(F.col(f"top_{x}"))
+        sketch = F.when(F.col("n") >= MIN_GROUP, F.col(x)).when(F.col("m") >= MIN_GROUP, F.col(f"up_{x}")).otherwise(top[x])
         low, mid = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.1, 0.5))
         return F.greatest(F.lit(FLOORS[x]), mid + SPREAD * (mid - low)).alias(f"max_{x}")
 
