@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkv.llm import tokens
-from loomkv.llm.common import broadcast_if, shared_dir, table
+from loomkv.llm.common import broadcast_if, parts_for, shared_dir, table
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 256
@@ -109,7 +109,7 @@ def _blocks(path: str, end_id: int, id_bytes: int):
 
 def write_token_files(docs: DataFrame, where: str, path: str, end_id: int = 2, id_bytes: int = 2, parts: int | None = None) -> None:
     """Write the token files of ``docs`` to ``where``: a range of doc_id per part, sorted within."""
-    n = parts or int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    n = parts or parts_for(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = keyed.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
     ordered.mapInPandas(_blocks(path, end_id, id_bytes), BLOCK_SCHEMA).write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(where)
