@@ -62,7 +62,7 @@ def lower_ascii(col: Column) -> Column:
 
 def parts_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     """Partitions for a given number of parts: the session's, or more where Catalyst's size of the input asks for them."""
-    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes().toString())
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
     known = size < 1 << 60  # Catalyst gives a huge number where it can't tell
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_each if known else 0)
 
