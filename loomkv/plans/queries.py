@@ -442,3 +442,18 @@ def wire_roundtrip(spark, d):
 
 
 _SQL["wire_roundtrip"] = f"{LOG} SELECT seq, op, key FROM log WHERE op <> 'SET'"
+
+
+@query(f"{LOG} SELECT seq, 2::INT AS kind, op, key, coalesce(ttl_ms, 0) AS ttl_ms, coalesce(value, '') AS value FROM log")
+def frame_roundtrip(spark, d):
+    """Commands as binary frames made by expressions, decoded by the table function."""
+    from loomkv.sources.wire import FrameTable
+
+    spark.udtf.register("loomkv_frame", FrameTable)
+    number = lambda n, width: F.unhex(F.lpad(F.hex(n), 2 * width, "0"))
+    key, value = F.col("key").cast("binary"), F.coalesce("value", F.lit("")).cast("binary")
+    code = F.when(F.col("op") == "GET", 1).when(F.col("op") == "SET", 2).otherwise(3)
+    body = F.concat(number(F.lit(2), 1), number(code, 1), number(F.octet_length("key"), 2), number(F.coalesce("ttl_ms", F.lit(0)), 8), key, value)
+    rows = from_events(spark, d).withColumn("body", body)
+    rows.select("seq", F.concat(number(F.octet_length("body"), 4), F.col("body")).alias("frame")).createOrReplaceTempView("loomkv_binary_frames")
+    return spark.sql("SELECT seq, kind, op, cast(key AS string) AS key, ttl_ms, cast(value AS string) AS value FROM loomkv_binary_frames, LATERAL loomkv_frame(frame)")
