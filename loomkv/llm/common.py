@@ -7,12 +7,13 @@ rows that repeat.  Intermediate tables go to the folder named by ``spark.checkpo
 from __future__ import annotations
 
 import atexit
-import tempfile
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loomkv.sources.folders import shared_dir
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 _written: list[tuple[object, object]] = []
 
@@ -21,15 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one only where the session names none (tests)."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "file://" + tempfile.mkdtemp(prefix="loomkv-")
-        spark.conf.set("spark.checkpoint.dir", folder)
-    return folder.rstrip("/")
-
-
 def _remove_written() -> None:
     while _written:
         fs, path = _written.pop()
@@ -42,15 +34,19 @@ def _remove_written() -> None:
 atexit.register(_remove_written)
 
 
+def scratch(spark: SparkSession, label: str) -> str:
+    """A path in the shared folder that is removed when the driver ends."""
+    where = f"{shared_dir(spark)}/loomkv/{label}-{uuid.uuid4().hex}"
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(where)
+    _written.append((path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path))
+    return where
+
+
 def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
-    spark = df.sparkSession
-    where = f"{shared_dir(spark)}/loomkv/{label}-{uuid.uuid4().hex}"
+    where = scratch(df.sparkSession, label)
     df.write.option("compression", "zstd").parquet(where)
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(where)
-    _written.append((path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), path))
-    return spark.read.schema(df.schema).parquet(where)
+    return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
 def lower_ascii(col: Column) -> Column:

@@ -12,7 +12,6 @@ the order of their text's hash; an empty table gives no block.  Further columns
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
@@ -23,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkv.llm import tokens
-from loomkv.llm.common import broadcast_if, parts_for, shared_dir, table
+from loomkv.llm.common import broadcast_if, parts_for, scratch, table
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 256
@@ -152,6 +151,6 @@ def export_blocks(blocks: DataFrame, folder: str) -> None:
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
-    where = f"{shared_dir(spark)}/loomkv/token-files-{uuid.uuid4().hex}"
+    where = scratch(spark, "token-files")
     write_token_files(table(spark, sf_dir, "documents"), where, tokens.tokenizer_path("word_bpe_49k.json"))
     return read_token_files(spark, where)
