@@ -421,12 +421,12 @@ def stream_state(spark, d):
     return out.groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("m")).select("key", "m.*")
 
 
-@query()
+@query(f"SELECT seq, 'key-' || (floor(u * sqrt(u) * 50000)::BIGINT % 50000) AS key FROM (SELECT event_id AS seq, {fnv_sql('key')} / 4294967296.0::DOUBLE AS u FROM (SELECT event_id, 'row:' || (event_id * 2654435761 % 4294967296) AS key FROM events))")
 def workload_keys(spark, d):
-    """Keys drawn with a power law, from hashes of row numbers in place of a random stream."""
-    n = spark.read.parquet(f"{d}/events.parquet").select("event_id")
-    u = (F.xxhash64("event_id").bitwiseAND(F.lit(0xFFFFFFFF).cast("long"))) / float(1 << 32)
-    return n.select(F.col("event_id").alias("seq"), F.concat(F.lit("key-"), (F.floor(F.pow(u, 1.5) * 50_000) % 50_000).cast("string")).alias("key"))
+    """Keys drawn with a power law of exponent 1.5, from hashes of row numbers in place of a random stream."""
+    n = spark.read.parquet(f"{d}/events.parquet").select(F.col("event_id").alias("seq"))
+    u = fnv1a32(F.concat(F.lit("row:"), (F.col("seq") * 2654435761 % (1 << 32)).cast("string"))) / float(1 << 32)
+    return n.withColumn("u", u).select("seq", F.concat(F.lit("key-"), (F.floor(F.col("u") * F.sqrt("u") * 50_000) % 50_000).cast("string")).alias("key"))
 
 
 @query()
