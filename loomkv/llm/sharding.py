@@ -2,8 +2,10 @@
 
 Rows with equal texts are one atomic group; groups are ordered by the hash of their text.  The smallest capacity
 for which a greedy pass needs no more than the given number of shards is found by binary search, and the order is
-cut there.  The driver holds a summary of the order only: sums over hash prefixes, refined by further bits just
-where some cut can still fall, until greedy on the summary and on the groups agree.
+cut there.  Where one group alone forces that capacity, it takes a shard of its own and the search goes on for what
+lies before and after it, so a giant group doesn't leave other shards empty.  The driver holds a summary of the order
+only: sums over hash prefixes, refined by further bits just where some cut can still fall, until greedy on the
+summary and on the groups agree.
 
 Defined results: a null text has no bytes and all null texts are one group; groups whose 64-bit
 hashes collide count as one; a group larger than the mean shard has a shard as large as itself; repeated rows get
@@ -51,6 +53,50 @@ def smallest_capacity(sums: np.ndarray, shards: int) -> int:
     return low
 
 
+def _needed(sums: np.ndarray, capacity: int) -> int:
+    """Shards that a greedy pass takes."""
+    total = np.concatenate(([0], np.cumsum(sums)))
+    at = n = 0
+    while at < len(sums):
+        at = int(np.searchsorted(total, total[at] + capacity, "right")) - 1
+        n += 1
+    return n
+
+
+def allot(sums: np.ndarray, shards: int) -> list[tuple[int, int, int, int]]:
+    """(from, to, shards, capacity) of consecutive stretches; a unit that alone forces the capacity is one of its own."""
+    alone: list[int] = []
+    while True:
+        edges = [-1, *sorted(alone), len(sums)]
+        parts = [(a + 1, b) for a, b in zip(edges, edges[1:], strict=False) if b - a > 1]
+        left = shards - len(alone)
+        if not parts:
+            break
+        biggest, whole = max(int(sums[a:b].max()) for a, b in parts), sum(int(sums[a:b].sum()) for a, b in parts)
+        low, high = max(biggest, -(-whole // left)), whole
+        while low < high:
+            mid = (low + high) // 2
+            if sum(_needed(sums[a:b], mid) for a, b in parts) > left:
+                low = mid + 1
+            else:
+                high = mid
+        if biggest < low:
+            break
+        alone.append(next(i for a, b in parts for i in range(a, b) if sums[i] == biggest))
+    out = [(i, i + 1, 1, int(sums[i])) for i in alone]
+    if parts:
+        taken = {x: _needed(sums[x[0] : x[1]], low) for x in parts}
+        own = {x: smallest_capacity(sums[x[0] : x[1]], k) for x, k in taken.items()}
+        for _ in range(left - sum(taken.values())):
+            x = max(own, key=own.get)
+            if own[x] == sums[x[0] : x[1]].max():
+                break
+            taken[x] += 1
+            own[x] = smallest_capacity(sums[x[0] : x[1]], taken[x])
+        out += [(*x, taken[x], own[x]) for x in parts]
+    return sorted(out)
+
+
 def _uncertain(sums: np.ndarray, atomic: np.ndarray, low: int, high: int, shards: int) -> np.ndarray:
     """Units that may have a cut inside: bounds of each greedy cut for any capacity from ``low`` to ``high``."""
     ends = np.cumsum(sums)
@@ -82,11 +128,12 @@ def cut_points(rows: DataFrame, shards: int) -> tuple[list[int], int]:
         units = units.sort_values("low", ignore_index=True)
         sums = units["sum"].to_numpy(np.int64)
         atomic = (units["low"] == units["high"]).to_numpy()
-        high = smallest_capacity(sums, shards)
-        low = max(-(-int(sums.sum()) // shards), int(sums[atomic].max(initial=0)))
         split = ~atomic & (sums > sums.sum() // (16 * shards))  # heavy units first: one group may make them so
         if not split.any():
-            split = _uncertain(sums, atomic, low, high, shards)
+            made = allot(sums, shards)
+            for a, b, k, high in made:
+                low = max(-(-int(sums[a:b].sum()) // k), int(sums[a:b][atomic[a:b]].max(initial=0)))
+                split[a:b] |= _uncertain(sums[a:b], atomic[a:b], low, high, k) if b - a > 1 else ~atomic[a:b]
         if not split.any():
             break
         fresh = [units[~split]]
@@ -95,9 +142,9 @@ def cut_points(rows: DataFrame, shards: int) -> tuple[list[int], int]:
             inside = rows.withColumn("unit", F.shiftright("h", 64 - int(bits))).join(asked, "unit", "left_semi")
             fresh.append(summary(inside, min(64, int(bits) + STEP_BITS)))
         units = pd.concat(fresh, ignore_index=True)
-    cuts = greedy(sums, high, shards)
+    cuts = [a + int(c) for a, b, k, high in made for c in greedy(sums[a:b], high, k)]
     lows = units["low"].to_list()
-    return [int(lows[c]) for c in cuts[:-1] if c < len(lows)], high
+    return [int(lows[c]) for c in cuts if c < len(lows)], max(x[-1] for x in made)
 
 
 def shard_of(h: Column, cuts: list[int]) -> Column:

@@ -14,13 +14,16 @@ def test_cuts_are_the_smallest_capacity(spark):
             h[:1000] = h[0]
         if trial == 2:
             h = h >> 48  # all under one prefix
+            h[:700], h[700:900] = h[0], h[1]  # and two giants
         rows = spark.createDataFrame(list(zip(h.tolist(), size.tolist(), strict=True)), "h long, size long")
         cuts, capacity = sharding.cut_points(rows, 40)
         keys, at = np.unique(h, return_inverse=True)
         sums = np.bincount(at, size).astype(np.int64)
         assert capacity == sharding.smallest_capacity(sums, 40)
         load = np.bincount(np.searchsorted(cuts, h, "right"), size)
-        assert len(load) <= 40 and load.max() <= capacity
+        assert len(load) == 40 and load.max() <= capacity
+        giants = load > 1.5 * load.mean()
+        assert giants.sum() == (0, 1, 2)[trial] and np.sort(load[~giants])[trial] > 0.9 * load[~giants].max()
 
 
 def test_groups_slots_and_sizes(spark):
