@@ -8,14 +8,20 @@ from __future__ import annotations
 
 import os
 import re
+from array import array
 from itertools import chain
 
 import numpy as np
 
-#: Pieces that a worker keeps, and the longest piece that it keeps.
-CACHE_PIECES, CACHE_CHARS = 300_000, 48
+#: Pieces that a worker keeps in each of two generations, and the longest piece that it keeps.
+CACHE_PIECES, CACHE_CHARS = 350_000, 48
 _encoders: dict[str, Encoder] = {}
-_BLANKS = re.compile(r"\s\s|^\s|\s\Z|[^\S \n]|[\x1c-\x1f]")
+#: White space besides blank and line feed, and pairs that the tokenizer may not cut between.
+_OTHER_SPACE = "".join(c for c in map(chr, range(1, 0x3001)) if c.isspace() and c not in " \n") + "\0"
+#: Letters and marks of which a piece can be a single word with a tail, whatever the version of Unicode.
+_LETTERS = "A-Za-zÀ-ÖØ-öø-ÿ"
+_WORD = re.compile(f"( ?[{_LETTERS}]+)([.,;:!?]*)")
+_PAIRS = ("  ", " \n", "\n ", "\n\n")
 
 
 def tokenizer_path(name: str) -> str:
@@ -33,36 +39,92 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.drops_blanks = not self.tokenizer.encode(" \n ", add_special_tokens=False).ids
+        self.drops_blanks = not self._ids(" \n ")
+        # what stands between pieces that are encoded together, and the id that it has and no piece has
+        self.between = " \1 " if self.drops_blanks else "\n"
+        self.mark = self._ids(self.between)
+        self.model = self.tokenizer.model
+        # the model's own spelling of each letter and of the leading blank, as its pre-tokenizer gives it
+        letters = [c for c in map(chr, range(256)) if re.fullmatch(f"[{_LETTERS}]", c)]
+        self.spelling = {ord(c): self._spelled(c) for c in letters}
+        if not self.drops_blanks:
+            self.spelling[ord(" ")] = self._spelled(" a")[:-1]
         self.cache: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+
+    def _ids(self, text: str) -> list[int]:
+        return self.tokenizer.encode(text, add_special_tokens=False).ids
+
+    def _spelled(self, text: str) -> str:
+        normal = self.tokenizer.normalizer.normalize_str(text) if self.tokenizer.normalizer else text
+        return "".join(x for x, _ in self.tokenizer.pre_tokenizer.pre_tokenize_str(normal))
+
+    def _of_model(self, spelled: str) -> bytes:
+        return array("I", [x.id for x in self.model.tokenize(spelled)]).tobytes()
+
+    def _words(self, pieces: list[str]) -> list[str]:
+        """Put pieces that are a word and a tail of marks into the cache; give back the others."""
+        known, older, rest = self.cache, self.older, []
+        for piece in pieces:
+            m = _WORD.fullmatch(piece)
+            if m is None:
+                rest.append(piece)
+                continue
+            word, tail = m.groups()
+            ids = known.get(word) or older.get(word)
+            if ids is None:
+                ids = known[word] = self._of_model(word.translate(self.spelling))
+            if tail:
+                end = known.get(tail)
+                if end is None:
+                    end = known[tail] = self._of_model(tail)
+                known[piece] = ids + end
+        return rest
 
     def _pieces(self, text: str) -> list[str]:
+        """Pieces whose ids, joined, are those of the text; one piece if that isn't certain."""
         if self.drops_blanks:
             return text.replace("\n", " ").split(" ")
-        if _BLANKS.search(text):
+        if text[0] in " \n" or text[-1] in " \n" or any(x in text for x in _PAIRS) or any(c in text for c in _OTHER_SPACE):
             return [text]
-        lines = text.split("\n")
-        out = lines[0].split(" ")
-        out[1:] = [f" {x}" for x in out[1:]]
-        for line in lines[1:]:
-            head, *rest = line.split(" ")
-            out += ["\n", head, *(f" {x}" for x in rest)]
-        return out
+        return text.replace(" ", "\0 ").replace("\n", "\0\n\0").split("\0")
+
+    def _fresh(self, pieces: list[str]) -> list[bytes]:
+        """Ids of pieces, encoded together where the mark then parts them without doubt, else one by one."""
+        if len(self.mark) == 1:
+            (found,) = self.tokenizer.encode_batch_fast([self.between.join(pieces)], add_special_tokens=False)
+            ids = np.array(found.ids, "<u4")
+            ends = np.flatnonzero(ids == self.mark[0])
+            if len(ends) == len(pieces) - 1:
+                raw, cuts = ids.tobytes(), (4 * ends).tolist()
+                return [raw[a:b] for a, b in zip([0, *(x + 4 for x in cuts)], [*cuts, len(raw)], strict=True)]
+        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(pieces, add_special_tokens=False)]
 
     def encode(self, texts: list[str | None]) -> list[bytes]:
         cut = [self._pieces(t) if t else [] for t in texts]
-        missing = list(set(chain.from_iterable(cut)).difference(self.cache))
-        if len(self.cache) + len(missing) > CACHE_PIECES:
-            self.cache.clear()
-            missing = list(set(chain.from_iterable(cut)))
-        for at in range(0, len(missing), 4096):
-            part = missing[at : at + 4096]
-            for piece, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.cache[piece] = np.array(found.ids, "<u4").tobytes()
-        out = [b"".join(map(self.cache.__getitem__, x)) for x in cut]
-        for piece in missing:
+        wanted = set(chain.from_iterable(cut))
+        known = self.cache
+        older, missing, alone = self.older, [], []
+        for piece in wanted.difference(known):
+            if piece in older:
+                known[piece] = older[piece]
+            elif len(piece) > CACHE_CHARS or "\n" in piece or "\1" in piece:
+                alone.append(piece)
+            else:
+                missing.append(piece)
+        together = self._words(missing)
+        for at in range(0, len(together), 4096):
+            part = together[at : at + 4096]
+            known.update(zip(part, self._fresh(part), strict=True))
+        for at in range(0, len(alone), 256):
+            part = alone[at : at + 256]
+            known.update(zip(part, (np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)), strict=True))
+        out = [b"".join(map(known.__getitem__, x)) for x in cut]
+        for piece in alone:
             if len(piece) > CACHE_CHARS:
-                del self.cache[piece]
+                del known[piece]
+        if len(known) > CACHE_PIECES:
+            self.cache, self.older = {}, known
         return out
 
     def encode_all(self, texts: list[str | None], step: int = 64) -> list[bytes]:
