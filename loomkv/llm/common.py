@@ -63,9 +63,9 @@ def parts_for(df: DataFrame, bytes_each: int = 64 << 20) -> int:
     return max(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), size // bytes_each if known else 0)
 
 
-def broadcast_if(df: DataFrame, rows: int, bound: int) -> DataFrame:
-    """Broadcast ``df`` only when its measured row count is within ``bound``; beyond it the join shuffles."""
-    return F.broadcast(df) if rows <= bound else df
+def broadcast_if(df: DataFrame, size: int, bound: int) -> DataFrame:
+    """Broadcast ``df`` only when its measured size (bytes or rows) is within ``bound``; beyond it the join shuffles."""
+    return F.broadcast(df) if size <= bound else df
 
 
 def bind(value: Column, use) -> Column:

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from loomkv.llm.common import broadcast_if, lower_ascii, materialise, table
 
 SEPARATOR = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-#: Rows up to which a table derived from the benchmark or the ids of candidate documents are broadcast.
-BROADCAST_ROWS = 200_000
+#: Measured bytes up to which a table derived from the benchmark or the ids of candidate documents are broadcast.
+BROADCAST_BYTES = 8 << 20
 
 
 def words(text: Column) -> Column:
@@ -28,10 +28,18 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(lower_ascii(F.coalesce(text, F.lit(""))), SEPARATOR), "")
 
 
-def postings(docs: DataFrame, terms: DataFrame | None = None, n_terms: int = 0) -> DataFrame:
+def weight(rows: DataFrame, *texts: str) -> int:
+    """Bytes of a table: its texts and 32 for each row."""
+    each = F.lit(32).cast("long")
+    for x in texts:
+        each = each + F.coalesce(F.octet_length(x), F.lit(0))
+    return rows.agg(F.sum(each)).first()[0] or 0
+
+
+def postings(docs: DataFrame, terms: DataFrame | None = None, n_bytes: int = 0) -> DataFrame:
     """The positional index: a row (term, doc_id, pos) per occurrence; only of ``terms`` where given."""
     out = docs.select("doc_id", F.posexplode(words(F.col("text"))).alias("pos", "term"))
-    return out if terms is None else out.join(broadcast_if(terms, n_terms, BROADCAST_ROWS), "term", "left_semi")
+    return out if terms is None else out.join(broadcast_if(terms, n_bytes, BROADCAST_BYTES), "term", "left_semi")
 
 
 def items_of(benchmark: DataFrame) -> DataFrame:
@@ -73,33 +81,31 @@ def phrase_search(docs: DataFrame, benchmark: DataFrame, n: int = 10) -> DataFra
     ``hits`` are the places of hit words, ``items`` the ids whose windows occur; ``digest`` identifies the text.
     """
     items = materialise(items_of(benchmark), "items")
-    n_items = items.count()
+    items_bytes = weight(items.withColumn("words", F.concat_ws("    ", "iw")), "item", "words")
     terms = items.select(F.explode("iw").alias("term")).distinct()
-    n_terms = terms.count()
-    frequency = postings(docs, terms, n_terms).groupBy("term").agg(F.count(F.lit(1)).alias("n_occ"))
+    frequency = postings(docs, terms, weight(terms, "term")).groupBy("term").agg(F.count(F.lit(1)).alias("n_occ"))
     pairs = materialise(_anchors(items, frequency, n), "anchors")
     spots = pairs.select("item", F.explode(F.array("a1", "a2")).alias("ipos")).distinct()
     spots = spots.join(items.select("item", "iw"), "item").select("item", "ipos", F.get("iw", F.col("ipos")).alias("term"))
     anchors = materialise(spots, "spots")
     rare = anchors.select("term").distinct()
-    n_anchors = anchors.count()
-    index = materialise(postings(docs, rare, rare.count()), "postings")
+    index = materialise(postings(docs, rare, weight(rare, "term")), "postings")
     diagonals = (
-        index.join(broadcast_if(anchors, n_anchors, BROADCAST_ROWS), "term")
+        index.join(broadcast_if(anchors, weight(anchors, "item", "term"), BROADCAST_BYTES), "term")
         .groupBy("doc_id", "item", (F.col("pos") - F.col("ipos")).alias("shift"))
         .agg(F.collect_set("ipos").alias("seen"))
     )
     wanted = items.select("item", "item_id", "iw").join(pairs.groupBy("item").agg(F.collect_set(F.struct("a1", "a2")).alias("pairs")), "item")
     both = F.exists("pairs", lambda p: F.array_contains("seen", p["a1"]) & F.array_contains("seen", p["a2"]))
     candidates = materialise(
-        diagonals.join(broadcast_if(wanted, n_items, 10_000), "item").filter(both).select("doc_id", "item", "shift"), "diagonals"
+        diagonals.join(broadcast_if(wanted, items_bytes + weight(pairs, "item"), BROADCAST_BYTES), "item").filter(both).select("doc_id", "item", "shift"), "diagonals"
     )
     ids = candidates.select(F.col("doc_id").alias("c_id")).distinct()
-    asked = broadcast_if(ids, ids.count(), BROADCAST_ROWS)
+    asked = broadcast_if(ids, weight(ids), BROADCAST_BYTES)
     within = docs.select("doc_id", "text").join(asked, F.col("doc_id").eqNullSafe(F.col("c_id")), "left_semi")
     texts = within.select("doc_id", F.xxhash64("text").alias("digest"), words(F.col("text")).alias("w")).dropDuplicates(["doc_id", "digest"])
     per_doc = (
-        candidates.join(broadcast_if(items.select("item", "item_id", "iw"), n_items, 10_000), "item")
+        candidates.join(broadcast_if(items.select("item", "item_id", "iw"), items_bytes, BROADCAST_BYTES), "item")
         .groupBy(F.col("doc_id").alias("c_id"))
         .agg(F.collect_list(F.struct("item_id", "iw", "shift")).alias("found"))
     )
@@ -125,7 +131,7 @@ def proximity_search(docs: DataFrame, terms: list[str], within: int) -> DataFram
     spark = docs.sparkSession
     wanted = sorted(set(terms))
     asked = spark.createDataFrame([(t,) for t in wanted], "term string")
-    index = postings(docs, asked, len(wanted))
+    index = postings(docs, asked, sum(len(t.encode()) + 32 for t in wanted))
     so_far = W.partitionBy("doc_id").orderBy("pos").rowsBetween(W.unboundedPreceding, W.currentRow)
     last = [F.max(F.when(F.col("term") == t, F.col("pos"))).over(so_far) for t in wanted]
     start = F.least(*last) if len(last) > 1 else last[0]

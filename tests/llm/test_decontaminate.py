@@ -54,7 +54,7 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch):
     bench = spark.createDataFrame([(1, "a3 b c d e f g h i j"), (2, "b c d e f g h i j k2 l"), (3, "c d e f g h i j k9 l")], "item_id long, text string")
     ask = lambda: sorted(map(tuple, decontaminate.contamination(docs, bench).drop("hits").collect()))
     want = ask()
-    monkeypatch.setattr(decontaminate, "BROADCAST_ROWS", -1)
+    monkeypatch.setattr(decontaminate, "BROADCAST_BYTES", -1)
     assert ask() == want and sum(r[-1] for r in want) > 0
 
 
