@@ -1,10 +1,12 @@
 """Quality rules with adaptive thresholds (DataFrame functions only).
 
-Counts are taken per document in one pass over the words.  KLL sketches of each ratio, built per language and
-source and merged upwards for small groups, give the limits: the median plus ``SPREAD`` times the distance from
-the tenth percentile to the median, and never under the ratio's floor.  Sketches and the limits join the
-documents again on (lang, source).  KLL sketches draw random bits, so limits of groups above a few hundred rows
-hold up to the sketch's rank error.
+Counts are taken per document in one pass over the words.  KLL sketches of each ratio over the rows that pass the
+base rule, built per language and source and merged upwards for small groups, give the limits: the median plus
+``SPREAD`` times its distance from the tenth percentile or the upper quartile, whichever is larger.  ``FLOORS`` only
+guard ratios that are zero in three quarters of a group.  The limits join the documents again on (lang, source); a
+document fails where its count exceeds what its limit and ``CHANCE`` standard errors explain by more than one, so a
+lone repeat in a short text is no evidence.  KLL sketches draw random bits, so limits of groups above a few hundred
+rows hold up to the sketch's rank error.
 
 Defined results: null and empty texts have no words and fail the base rule; null lang or source is a group of
 its own; repeated rows count and return each for itself; an empty table gives no row; further columns are
@@ -22,8 +24,11 @@ BLANKS = r"[\x20\x09-\x0D]+"
 WINDOW = 8
 MIN_GROUP = 50
 SPREAD = 5.0
-#: A ratio and the limit under which it never fails.
-FLOORS = {"symbol_ratio": 0.04, "dup_line_ratio": 0.5, "upper_ratio": 0.35, "stutter_ratio": 0.3}
+CHANCE = 3.0
+#: A ratio and the least limit of it.
+FLOORS = {"symbol_ratio": 0.005, "dup_line_ratio": 0.01, "upper_ratio": 0.005, "stutter_ratio": 0.005}
+#: A ratio and the count that it is a share of.
+SHARE_OF = {"symbol_ratio": "word_chars", "dup_line_ratio": "n_lines", "upper_ratio": "word_chars", "stutter_ratio": "n_words"}
 
 
 def _covered(places: Column, n: int) -> Column:
@@ -69,7 +74,7 @@ def measures(docs: DataFrame) -> DataFrame:
     )
     chars = F.greatest("word_chars", F.lit(1))
     return per_row.select(
-        "doc_id", "lang", "source", "w.n_words", "word_chars", "n_symbols", F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words",
+        "doc_id", "lang", "source", "w.n_words", "word_chars", "n_symbols", F.col("l.n").alias("n_lines"), F.col("l.dup").alias("n_dup_lines"), "w.n_repeat_words",
         (F.col("n_symbols") / chars).alias("symbol_ratio"),
         (F.col("l.dup") / F.greatest(F.col("l.n"), F.lit(1))).alias("dup_line_ratio"),
         (F.col("n_upper") / chars).alias("upper_ratio"),
@@ -78,31 +83,40 @@ def measures(docs: DataFrame) -> DataFrame:
 
 
 def limits(measured: DataFrame) -> DataFrame:
-    """(lang, source, limit of each ratio): from the group's sketch, else its language's, else that of all."""
+    """(lang, source, limit of each ratio): from the group's sketch, else its language's, else that of all.
+
+    Rows whose ratios are null have no part in the sketches, but their group gets its limits.
+    """
     names = list(FLOORS)
-    group = measured.groupBy("lang", "source").agg(F.count(F.lit(1)).alias("n"), *(F.kll_sketch_agg_double(x).alias(x) for x in names))
+    group = measured.groupBy("lang", "source").agg(F.count(names[0]).alias("n"), *(F.kll_sketch_agg_double(x).alias(x) for x in names))
     group = materialise(group, "sketches")
     merged = lambda g: g.agg(F.sum("n").alias("m"), *(F.kll_merge_agg_double(x).alias(f"up_{x}") for x in names))
     by_lang = merged(group.groupBy(F.col("lang").alias("of_lang")))
     whole = merged(group.groupBy()).first()  # one sketch for each ratio
-    top = {x: F.lit(bytearray(whole[f"up_{x}"])) if whole[f"up_{x}"] is not None else F.lit(None).cast("binary") for x in names}
+    top = {x: F.lit(bytearray(whole[f"up_{x}"])) if whole["m"] else F.lit(None).cast("binary") for x in names}
     joined = group.join(by_lang, F.col("lang").eqNullSafe(F.col("of_lang")))
 
     def limit(x: str) -> Column:
         sketch = F.when(F.col("n") >= MIN_GROUP, F.col(x)).when(F.col("m") >= MIN_GROUP, F.col(f"up_{x}")).otherwise(top[x])
-        low, mid = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.1, 0.5))
-        return F.greatest(F.lit(FLOORS[x]), mid + SPREAD * (mid - low)).alias(f"max_{x}")
+        low, mid, high = (F.kll_sketch_get_quantile_double(sketch, F.lit(q)) for q in (0.1, 0.5, 0.75))
+        return F.greatest(F.lit(FLOORS[x]), mid + SPREAD * F.greatest(mid - low, high - mid)).alias(f"max_{x}")
 
     return joined.select(F.col("lang").alias("g_lang"), F.col("source").alias("g_source"), *map(limit, names))
 
 
 def apply_rules(docs: DataFrame) -> DataFrame:
     """Counts, base_failed, kept and the failed ratios of every document row."""
+    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
     measured = materialise(measures(docs), "measures")
+    judged = measured.select("lang", "source", *(F.when(~base_failed, F.col(x)).alias(x) for x in FLOORS))
     same = F.col("lang").eqNullSafe(F.col("g_lang")) & F.col("source").eqNullSafe(F.col("g_source"))
-    joined = measured.join(limits(measured), same)
-    base_failed = (F.col("n_words") < 20) | (100 * F.col("n_repeat_words") > 30 * F.col("n_words"))
-    failed = F.filter(F.array(*(F.when(F.col(x) > F.col(f"max_{x}"), F.lit(x)) for x in FLOORS)), lambda x: x.isNotNull())
+    joined = measured.join(limits(judged), same)
+
+    def beyond(x: str) -> Column:
+        n, most = F.greatest(SHARE_OF[x], F.lit(1)), F.col(f"max_{x}")
+        return F.col(x) > most + (CHANCE * F.sqrt(most * n) + 1) / n
+
+    failed = F.filter(F.array(*(F.when(beyond(x), F.lit(x)) for x in FLOORS)), lambda x: x.isNotNull())
     out = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
     return joined.select(*out, base_failed.alias("base_failed"), (~base_failed & (F.size(failed) == 0)).alias("kept"), F.array_join(failed, ",").alias("failed"))
 

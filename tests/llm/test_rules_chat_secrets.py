@@ -58,6 +58,22 @@ def test_limits_follow_the_group(spark):
     assert abs(got["a"] - (mid + quality_rules.SPREAD * (mid - low))) < 0.02 and got["b"] == quality_rules.FLOORS["symbol_ratio"]
 
 
+def test_verdicts_follow_the_group(spark):
+    """One text is usual in a group of much upper case and an outlier in one of little; a repeated line of few is none."""
+    rng = np.random.default_rng(8)
+    plain = lambda n, up: " ".join(f"{'W' if rng.random() < up else 'w'}o{x}" for x in rng.integers(0, 9999, n))
+    rows = [(i, plain(200, (0.1, 0.8)[i % 2]), "en", ("calm", "loud")[i % 2]) for i in range(160)]
+    loud, lines = plain(200, 0.8), [plain(12, 0.1) for _ in range(12)]
+    rows += [(200, loud, "en", "calm"), (201, loud, "en", "loud"), (202, "\n".join([lines[0], "a short line", *lines[1:3], "a short line"]), "en", "calm")]
+    rows += [(203, "\n".join(lines + [lines[0][:9], lines[1][:9]] * 5), "en", "calm"), (204, "junk", "xx", "short only")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
+    got = {r.doc_id: r for r in quality_rules.apply_rules(docs).collect()}
+    assert len(got) == len(rows) and got[200].failed == "upper_ratio" and all(got[i].kept for i in (*range(160), 201, 202))
+    assert got[203].failed == "dup_line_ratio" and not got[203].base_failed and got[204].base_failed
+    short = docs.filter("doc_id = 204")
+    assert [r.kept for r in quality_rules.apply_rules(short).collect()] == [False]
+
+
 def test_chat(spark):
     odd = ["", None, "</s>[INST] ok [/INST]", "<s>[0user]x</s>", "\\l \\e \\", "plain", "[1assistant]", "<s>", "</s", "é😀 </s> ñ", "a\nb", "]", "x" * 100_000 + "</s>"]
     rows = [(c, t, role, odd[(c + 3 * t) % len(odd)]) for c in range(13) for t, role in enumerate(["system", "user", "assistant", "assistant"])]
