@@ -3,11 +3,13 @@
 The posterior of a language adds, in logs: the tempered likelihood of the text under byte-trigram models, the
 declared language of the markup (right with probability ``DECLARED_RIGHT``), the address suffix, and the host's
 prior.  Host priors come from one grouped count over all rows and are smoothed up the levels host, domain, all.
+The languages are all that some row declares; each has a text model from a sample of its own texts, and takes a
+column of 256 KB of the table of models.
 A text is rejected when it has no letters, when evenly drawn trigrams explain it better than any language, or when
 no language reaches half of the posterior.
 
 Defined results: a null, empty or letterless text has the language of its other evidence and is rejected; a null
-declaration or host adds nothing of its own; ties go to the first language in order; repeated rows return each for
+declaration or host adds nothing of its own; a language declared only by rows without text never wins by text; ties go to the first language in order; repeated rows return each for
 itself; an empty table gives no row; further columns are ignored.
 """
 
@@ -22,8 +24,10 @@ from pyspark.sql import functions as F
 
 from loomkv.llm.common import materialise, table
 
-#: The text models are fitted on at most so many declared rows of at most so many bytes each.
-MODEL_ROWS, MODEL_BYTES = 3000, 50_000
+#: The text models share about so many declared texts, but each language has at least MODEL_EACH (or all it has).
+MODEL_ROWS, MODEL_EACH = 3000, 100
+#: Of a longer text, the model takes so many characters.
+MODEL_CHARS = 50_000
 BUCKETS = 1 << 16
 DECLARED_RIGHT = 0.9
 SUFFIX_RIGHT = 0.8
@@ -54,16 +58,25 @@ def domain_of(host: Column) -> Column:
 
 
 def fit_text_models(rows: DataFrame) -> tuple[list[str], np.ndarray]:
-    """(languages, log probabilities [bucket, language]) from a bounded sample."""
-    good = rows.filter(F.col("declared").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= MODEL_BYTES))
-    keys = good.select(F.xxhash64("text").alias("k")).distinct().orderBy("k").limit(MODEL_ROWS)  # copies count once
-    edge = keys.agg(F.max("k")).first()[0]
-    sample = good.filter(F.xxhash64("text") <= F.lit(edge if edge is not None else 0)).dropDuplicates(["text"]).limit(MODEL_ROWS).select("declared", "text").toPandas()
-    langs = sorted(sample["declared"].unique().tolist())
-    counts = np.full((BUCKETS, max(1, len(langs))), 0.3)
-    for lang, text in zip(sample["declared"], sample["text"], strict=True):
-        counts[:, langs.index(lang)] += np.bincount(codes(text), minlength=BUCKETS)
-    return langs, np.log(counts / counts.sum(0)).astype(np.float32)
+    """(languages, log probabilities [bucket, language]): all declared languages, each from a sample by hash."""
+    good = rows.filter(F.col("declared").isNotNull()).select("declared", "text", F.xxhash64("text").alias("k"))
+    has_text = F.coalesce(F.octet_length("text"), F.lit(0)) > 0
+    found = materialise(good.groupBy(F.col("declared").alias("s_lang")).agg(F.approx_count_distinct(F.when(has_text, F.col("k"))).alias("texts")), "languages")
+    langs = sorted(x[0] for x in found.select("s_lang").collect())
+    each = max(MODEL_EACH, MODEL_ROWS // max(1, len(langs)))
+    # copies share a hash, so a share of all hashes is that share of the distinct texts; small languages give all theirs
+    share = F.when(F.col("texts") > 2 * each, each / F.col("texts")).otherwise(2.0)
+    place = F.shiftrightunsigned("k", 11) / float(1 << 53)
+    chosen = good.filter(has_text).join(found, F.col("declared") == F.col("s_lang")).filter(place < share)
+    sample = chosen.groupBy("declared", "k").agg(F.min(F.substring("text", 1, MODEL_CHARS)).alias("text")).select("declared", "text")
+    counts = np.full((BUCKETS, max(1, len(langs))), 0.3, np.float32)
+    at = {x: i for i, x in enumerate(langs)}
+    for lang, text in sample.toLocalIterator():
+        counts[:, at[lang]] += np.bincount(codes(text), minlength=BUCKETS)
+    seen = (counts > 0.5).any(0)
+    logs = np.log(counts / counts.sum(0, dtype=np.float64)).astype(np.float32)
+    logs[:, ~seen] = -np.log(BUCKETS) - 1e-3  # no text: just under the noise limit
+    return langs, logs
 
 
 def host_priors(rows: DataFrame, langs: list[str]) -> DataFrame:

@@ -32,6 +32,20 @@ def test_language_evidence_and_edges(spark):
     assert none.count() == len(rows + odd)
 
 
+def test_rare_languages_have_a_model(spark, monkeypatch):
+    """However few its rows are beside the sample, a declared language is known; so is one of long texts only."""
+    monkeypatch.setattr(language_id, "MODEL_ROWS", 20)
+    rng = np.random.default_rng(4)
+    words = {"en": "the house and river with this thing".split(), "fi": "talossa ymmärrämme hyvää yöllä järvellä kissat".split(), "cy": "llwyd ynghyd ddŵr gwybodaeth rhwng".split()}
+    some = lambda x, n: " ".join(rng.choice(words[x], n))
+    rows = [(i, f"{some('en', 30)} {i}", "en") for i in range(1500)] + [(2000 + i, some("fi", 30), "fi") for i in range(3)] + [(3000, some("cy", 9000), "cy"), (3001, None, "eu")]
+    rows += [(4000, some("fi", 40), None), (4001, some("cy", 40), None)]
+    df = spark.createDataFrame([(*r, None) for r in rows], "key long, text string, declared string, host string")
+    assert language_id.fit_text_models(df)[0] == ["cy", "en", "eu", "fi"]
+    got = {r.key: r for r in language_id.identify(df).collect()}
+    assert [(got[k].text_lang, got[k].pred_lang, got[k].kept) for k in (2000, 3000, 4000, 4001, 7)] == [(x, x, True) for x in ("fi", "cy", "fi", "cy", "en")]
+
+
 def test_host_priors_are_smoothed_up_the_levels(spark):
     rows = [("a.x.org", "de")] * 30 + [("b.x.org", "en")] + [("c.y.org", "en")] * 69
     got = {r.p_host: r.prior for r in language_id.host_priors(spark.createDataFrame(rows, "host string, declared string"), ["de", "en"]).collect()}
