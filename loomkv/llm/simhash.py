@@ -4,7 +4,7 @@ Four differing bits leave at least one of five bit blocks untouched, so every li
 fingerprints that agree on a block.  Inside a bucket the sorted fingerprints are a binary trie: pairs of nodes
 walk down together, each step adds the bit in which they differ, and a pair whose sum passes the budget is cut
 off.  A bucket gives back the edges of a spanning star, not its pairs, so a group of copies costs its size.
-Buckets over ``HOT_BUCKET`` fingerprints are split by five further blocks of the bits still free, exactly.
+Buckets over ``HOT_BUCKET`` fingerprints are split, each within itself, by five further blocks of the bits still free.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; repeated rows keep
 their own result; a null doc_id takes part but is never a component's id unless it has no other; further columns
@@ -179,7 +179,7 @@ def links(distinct_fp: DataFrame, budget: int = BUDGET, hot: int = HOT_BUCKET) -
     rows = distinct_fp.select("fp", F.lit(0).cast("long").alias("mask"))
     ready = []
     for _ in range(3):
-        table_of = F.create_map(*(y for m, kids in masks.items() for y in (F.lit(_signed(m)).cast("long"), F.array(*(F.lit(_signed(k)).cast("long") for k in kids)))))
+        table_of = F.create_map(*(y for m, kids in masks.items() for y in (F.lit(_signed(m)).cast("long"), F.array(*(F.lit(_signed(m | k)).cast("long") for k in kids)))))
         rows = rows.select("fp", F.explode(F.element_at(table_of, F.col("mask"))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         large = materialise(rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot), "hot")
         if not (n_large := large.count()):
@@ -188,7 +188,8 @@ def links(distinct_fp: DataFrame, budget: int = BUDGET, hot: int = HOT_BUCKET) -
         large = F.broadcast(large.drop("n")) if n_large <= 100_000 else large.drop("n")
         ready.append(rows.join(large, ["mask", "key"], "left_anti").select("fp", "mask", "key"))
         rows = rows.join(large, ["mask", "key"], "left_semi").select("fp", "mask")
-        masks = {k: _blocks([b for b in range(64) if not k >> b & 1], budget + 1) for kids in masks.values() for k in kids}
+        # a bucket's mask holds all the bits agreed on so far
+        masks = {m | k: _blocks([b for b in range(64) if not (m | k) >> b & 1], budget + 1) for m, kids in masks.items() for k in kids}
     else:
         rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
     for x in ready:

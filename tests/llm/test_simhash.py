@@ -82,6 +82,18 @@ def test_query_rows_against_brute_force(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_hot_buckets_split_within_themselves(spark, monkeypatch):
+    def masks_of(parts):
+        for x in parts:
+            yield x[["mask", "key"]].set_axis(["a", "b"], axis=1)
+
+    monkeypatch.setattr(simhash, "_bucket_links", masks_of)
+    fps = [int(x) for x in np.random.default_rng(3).integers(0, 2**12, 400)]
+    made = simhash.links(spark.createDataFrame([(x,) for x in set(fps)], "fp long"), 4, 8).collect()
+    first = simhash._blocks(list(range(64)), 5)
+    assert made and all(any((r.a & (2**64 - 1)) & f == f for f in first) for r in made)
+
+
 def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(7, 7), (100, 90), (100, 90)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
