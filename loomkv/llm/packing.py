@@ -2,8 +2,8 @@
 
 Documents become pieces of at most ``capacity`` tokens.  The histogram of piece lengths, at most ``capacity``
 numbers, is all that the driver sees.  Patterns of two or three lengths that fill a sequence are enumerated,
-their repeat counts are fitted to the histogram by non-negative least squares and rounded down, and what is left
-is packed best-fit, again as repeated patterns.  The plan is arithmetic: the k-th piece of a length lies in a
+their repeat counts are fitted to the histogram by non-negative least squares and rounded down.  Patterns that leave
+over a hundredth of a sequence empty, as those of short lengths do, are not used; what is left is packed best-fit, again as repeated patterns.  The plan is arithmetic: the k-th piece of a length lies in a
 known sequence at a known offset, so pieces are placed without moving tokens.
 
 Defined results: null and empty texts are one piece of the end id; repeated rows are packed each for itself; an
@@ -28,6 +28,8 @@ from loomkv.llm.common import materialise, table
 
 CAPACITY = 1024
 MAX_PATTERNS = 4000
+#: A fitted pattern is used from this share of the capacity on.
+LEAST_FILL = 0.99
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
@@ -95,12 +97,12 @@ def plan(histogram: dict[int, int], capacity: int = CAPACITY) -> list[tuple[tupl
     left = {k: v for k, v in histogram.items() if v > 0}
     out: list[tuple[tuple[int, ...], int]] = []
     if len(left) > 1:
-        chosen = patterns(sorted(left), capacity)
+        chosen = [p for p in patterns(sorted(left), capacity) if LEAST_FILL * capacity <= sum(p) <= capacity]
         x = fit(left, chosen)
         for i in np.argsort(-x, kind="stable"):
             need = Counter(chosen[i])
             n = min(int(x[i]), *(left[k] // m for k, m in need.items()))
-            if n > 0 and sum(chosen[i]) <= capacity:
+            if n > 0:
                 out.append((chosen[i], n))
                 for k, m in need.items():
                     left[k] -= m * n

@@ -26,6 +26,14 @@ def test_plan_is_close_to_the_bound():
     assert made <= 1.01 * sum(k * v for k, v in histogram.items()) / 1024 + 1
 
 
+def test_short_pieces_fill_sequences():
+    # no packing needs fewer than the ids' share of the capacity, nor than the pieces over half of it
+    for histogram in ({40: 10_000, 50: 10_000}, {k: 500 for k in range(5, 90)}, {700: 1000, 30: 9000, 20: 500}):
+        made = sum(n for _, n in packing.plan(histogram))
+        least = max(sum(k * v for k, v in histogram.items()) / 1024, sum(v for k, v in histogram.items() if k > 512))
+        assert made <= 1.04 * least + 2
+
+
 def test_pieces_and_places(spark):
     rows = [(i, "some words here " * (i * 37 % 900), "x") for i in range(120)] + [(3, None, "x"), (None, "", "x"), (3, None, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, length string")
