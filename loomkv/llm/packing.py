@@ -19,6 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
@@ -35,24 +36,35 @@ PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 def pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY, keep_ids: bool = False) -> DataFrame:
     """A row per piece; only documents over ``capacity`` are cut, and their first piece may be shorter."""
+    names = [x.split()[0] for x in PIECES.split(", ")] + ["ids"] * keep_ids
 
-    def cut(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, tail = tokens.encoder(path), np.array([end_id], "<u4").tobytes()
+    def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokens.encoder(path)
         for rows in parts:
-            names, texts = rows["doc_id"].tolist(), rows["text"].tolist()
-            for at in range(0, len(texts), 64):
-                out = []
-                for name, coded in zip(names[at : at + 64], coder.encode(texts[at : at + 64]), strict=True):
-                    ids = memoryview(coded + tail)
-                    n = len(ids) // 4
-                    edges = [0, *range(n % capacity or capacity, n + 1, capacity)] if n > capacity else [0, n]
-                    for k, (a, b) in enumerate(zip(edges, edges[1:], strict=False)):
-                        row = (None if pd.isna(name) else int(name), k, a, b - a, zlib.crc32(ids[4 * a : 4 * b]))
-                        out.append((*row, bytes(ids[4 * a : 4 * b])) if keep_ids else row)
-                frame = pd.DataFrame(out, columns=["doc_id", "piece", "start", "length", "ids_crc32", *["ids"] * keep_ids])
-                yield frame.astype({"doc_id": "Int64"})
-
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInPandas(cut, PIECES + ", ids binary" * keep_ids)
+            for some in tokens.slices(rows):
+                ids, counts = coder.encode(some.column("text"))
+                n = counts + 1
+                ends = np.cumsum(n)
+                out = np.full(int(ends[-1]), end_id, "<u4")
+                inside = np.ones(len(out), bool)
+                inside[ends - 1] = False
+                out[inside] = ids
+                raw = memoryview(out).cast("B")
+                many = -(-n // capacity)
+                doc = np.repeat(np.arange(len(n)), many)
+                piece = np.arange(len(doc)) - np.repeat(np.cumsum(many) - many, many)
+                # the first piece takes what the full ones leave
+                to = n[doc] - (many[doc] - 1 - piece) * capacity
+                start = np.maximum(to - capacity, 0)
+                first = (ends - n)[doc]
+                spans = list(zip((4 * (first + start)).tolist(), (4 * (first + to)).tolist(), strict=True))
+                crc = [zlib.crc32(raw[x:y]) for x, y in spans]
+                columns = [some.column("doc_id").take(pa.array(doc)), pa.array(piece.astype(np.int32)), pa.array(start), pa.array(to - start), pa.array(crc, pa.int64())]
+                if keep_ids:
+                    columns.append(pa.array([bytes(raw[x:y]) for x, y in spans], pa.binary()))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + ", ids binary" * keep_ids)
 
 
 def patterns(lengths: list[int], capacity: int) -> list[tuple[int, ...]]:

@@ -1,13 +1,14 @@
 """Token-id files: concatenated ids in blocks, document boundaries in Elias-Fano code.
 
-A file is Parquet with one row per block: the ids of its documents one after another (16 bits each where the
-vocabulary allows it, else 32), the document ids, and the end of each document in Elias-Fano code: low bits
-packed, high bits in unary, and the place of every 256th set bit so that ``EliasFano.select`` reads one boundary
-without decoding the others.  Parts are ranges of doc_id, blocks ascend within a part.  ``export_blocks`` gives
-the same bytes without Parquet.
+A file is Parquet with one row per block: the ids of its documents one after another (in 16 bits where the whole
+vocabulary fits, else in 32), the end of each document and the document ids, both in Elias-Fano code: low bits packed,
+high bits in unary, and the place of every 256th set bit, from which ``select`` finds any value without a table of
+offsets.  Parts are ranges of doc_id, blocks ascend within a part.  Readers take boundaries and ids through
+``select`` alone.
 
 Defined results: null and empty texts give the end id alone; null doc_ids come first; repeated doc_ids stay in
-the order of their text's hash; an empty table gives no block.  Further columns are ignored.
+the order of their text's hash; an empty table gives no block; ids that don't fit the width are an error.  Further
+columns are ignored.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -26,11 +27,15 @@ from loomkv.llm.common import broadcast_if, parts_for, scratch, table
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 256
-BLOCK_SCHEMA = "part int, block int, base long, n_docs long, n_ids long, id_bytes int, doc_ids binary, doc_nulls binary, ids binary, low_bits int, low binary, high binary, samples binary"
+_CODE = "{0}_bits int, {0}_low binary, {0}_high binary, {0}_samples binary"
+BLOCK_SCHEMA = f"part int, block int, base long, n_docs long, n_nulls long, n_ids long, id_bytes int, first_doc long, ids binary, {_CODE.format('ends')}, {_CODE.format('docs')}"
+_TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in BLOCK_SCHEMA.split(", ")]
+#: The place of the n-th set bit of a byte.
+_SELECT = np.array([[*(b for b in range(8) if x >> b & 1), *[8] * 8][:8] for x in range(256)], np.int64)
 
 
 class EliasFano:
-    """A non-decreasing sequence of n values up to u, in about n * (2 + log2(u / n)) bits."""
+    """A non-decreasing sequence of n values from 0 up to u, in about n * (2 + log2(u / n)) bits."""
 
     def __init__(self, n: int, low_bits: int, low: bytes, high: bytes, samples: bytes) -> None:
         self.n, self.low_bits = n, low_bits
@@ -51,80 +56,108 @@ class EliasFano:
     def parts(self) -> tuple[int, bytes, bytes, bytes]:
         return self.low_bits, self.low.tobytes(), self.high.tobytes(), self.samples.tobytes()
 
-    def select(self, i: int) -> int:
-        """Value number i: from the nearest sample on, the high bits are searched for its set bit."""
-        if not 0 <= i < self.n:
-            raise IndexError(i)
-        at, left = int(self.samples[i // SAMPLE]), i % SAMPLE
-        byte = at // 8
-        seen = -int(np.bitwise_count(np.uint8(int(self.high[byte]) & ((1 << at % 8) - 1))))
-        while seen + (c := int(np.bitwise_count(self.high[byte]))) <= left:
-            seen += c
-            byte += 1
-        bit = np.flatnonzero(np.unpackbits(self.high[byte : byte + 1], bitorder="little"))[left - seen]
-        low = 0
+    def select(self, numbers: np.ndarray) -> np.ndarray:
+        """Values of the given numbers: from the nearest sample on, bytes of the high bits are counted up to the set bit."""
+        i = np.asarray(numbers, np.int64)
+        if len(i) and not (i.min() >= 0 and i.max() < self.n):
+            raise IndexError(numbers)
+        at, left = self.samples[i // SAMPLE].astype(np.int64), i % SAMPLE
+        byte = at >> 3
+        # set bits of the sample's own byte that lie before it count as not yet passed
+        left = left + np.bitwise_count(self.high[byte] & ((1 << (at & 7)) - 1).astype(np.uint8)).astype(np.int64)
+        on = np.arange(len(i))
+        while len(on):
+            have = np.bitwise_count(self.high[byte[on]]).astype(np.int64)
+            on, have = on[left[on] >= have], have[left[on] >= have]
+            left[on] -= have
+            byte[on] += 1
+        high = byte * 8 + _SELECT[self.high[byte], left] - i
+        out = high << self.low_bits
         for k in range(self.low_bits):
-            b = i * self.low_bits + k
-            low |= (int(self.low[b // 8]) >> b % 8 & 1) << k
-        return (byte * 8 + int(bit) - i << self.low_bits) | low
+            bit = i * self.low_bits + k
+            out |= (self.low[bit >> 3].astype(np.int64) >> (bit & 7) & 1) << k
+        return out
 
-    def all(self) -> np.ndarray:
-        high = np.flatnonzero(np.unpackbits(self.high, bitorder="little"))[: self.n] - np.arange(self.n)
-        low = np.unpackbits(self.low, count=self.n * self.low_bits, bitorder="little").reshape(self.n, self.low_bits).astype(np.int64)
-        return (high.astype(np.int64) << self.low_bits) | (low << np.arange(self.low_bits)).sum(1, dtype=np.int64)
 
+def id_width(vocabulary: int) -> int:
+    """Bytes of an id."""
+    return 2 if vocabulary <= 1 << 16 else 4
 
-def _blocks(path: str, end_id: int, id_bytes: int):
-    def write(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        coder, tail = tokens.encoder(path), np.array([end_id], "<u4").tobytes()
-        part, number, base = TaskContext.get().partitionId(), 0, 0
-        held: list[bytes] = []
-        names: list[int | None] = []
-        size = 0
 
-        def block() -> pd.DataFrame:
-            nonlocal number, base, held, names, size
-            ends = np.cumsum([len(x) // 4 for x in held])
-            low_bits, low, high, samples = EliasFano.of(ends).parts()
-            ids = np.frombuffer(b"".join(held), "<u4").astype(f"<u{id_bytes}").tobytes()
-            row = (part, number, base, len(held), int(ends[-1]), id_bytes, np.array([x or 0 for x in names], "<i8").tobytes(), np.packbits([x is None for x in names]).tobytes(), ids, low_bits, low, high, samples)
-            number, base, held, names, size = number + 1, base + int(ends[-1]), [], [], 0
-            return pd.DataFrame([row], columns=[x.split()[0] for x in BLOCK_SCHEMA.split(", ")])
+def _blocks(path: str, end_id: int, block_ids: int):
+    names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
+
+    def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        coder = tokens.encoder(path)
+        width = id_width(max(coder.size, end_id + 1))
+        part, number, base = TaskContext.get().partitionId(), 0, 0
+        held: list[np.ndarray] = []
+        lengths: list[np.ndarray] = []
+        docs: list[pa.Array] = []
+
+        def block() -> pa.RecordBatch:
+            nonlocal number, base, held, lengths, docs
+            ids, ends = np.concatenate(held), np.cumsum(np.concatenate(lengths))
+            if len(ids) and int(ids.max()) >> 8 * width:
+                raise OverflowError(f"an id of {int(ids.max())} does not fit {width} bytes")
+            named = pa.concat_arrays(docs)
+            known = named.drop_null().to_numpy()
+            first = int(known[0]) if len(known) else 0
+            row = [part, number, base, len(ends), named.null_count, len(ids), width, first, ids.astype(f"<u{width}").tobytes(), *EliasFano.of(ends).parts(), *EliasFano.of(known - first).parts()]
+            number, base, held, lengths, docs = number + 1, base + len(ids), [], [], []
+            return pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in zip(row, _TYPES, strict=True)], names=names)
 
+        size = 0
         for rows in parts:
-            texts, ids = rows["text"].tolist(), [None if pd.isna(x) else int(x) for x in rows["doc_id"]]
-            for at in range(0, len(texts), 64):
-                for name, coded in zip(ids[at : at + 64], coder.encode(texts[at : at + 64]), strict=True):
-                    held.append(coded + tail)
-                    names.append(name)
-                    size += len(coded) // 4 + 1
-                    if size >= BLOCK_IDS:
-                        yield block()
+            for some in tokens.slices(rows):
+                ids, counts = coder.encode(some.column("text"))
+                ends = np.cumsum(counts + 1) - 1
+                out = np.full(len(ids) + len(counts), end_id, np.uint32)
+                inside = np.ones(len(out), bool)
+                inside[ends] = False
+                out[inside] = ids
+                held.append(out)
+                lengths.append(counts + 1)
+                docs.append(some.column("doc_id"))
+                size += len(out)
+                if size >= block_ids:
+                    yield block()
+                    size = 0
         if held:
             yield block()
 
     return write
 
 
-def write_token_files(docs: DataFrame, where: str, path: str, end_id: int = 2, id_bytes: int = 2, parts: int | None = None) -> None:
+def write_token_files(docs: DataFrame, where: str, path: str, end_id: int = 2, parts: int | None = None, block_ids: int = BLOCK_IDS) -> None:
     """Write the token files of ``docs`` to ``where``: a range of doc_id per part, sorted within."""
     n = parts or parts_for(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = keyed.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ordered.mapInPandas(_blocks(path, end_id, id_bytes), BLOCK_SCHEMA).write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(where)
+    ordered.mapInArrow(_blocks(path, end_id, block_ids), BLOCK_SCHEMA).write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(where)
+
 
+def block_documents(x: dict) -> tuple[list[int | None], np.ndarray, np.ndarray, np.ndarray]:
+    """(doc_ids, starts, ends, ids) of a block, boundaries and doc_ids by select."""
+    code = lambda name, n: EliasFano(n, *(x[f"{name}_{y}"] for y in ("bits", "low", "high", "samples")))
+    ends = code("ends", x["n_docs"]).select(np.arange(x["n_docs"]))
+    named = x["n_docs"] - x["n_nulls"]
+    docs = code("docs", named).select(np.arange(named)) + x["first_doc"]
+    return [None] * x["n_nulls"] + docs.tolist(), np.concatenate(([0], ends[:-1])), ends, np.frombuffer(x["ids"], f"<u{x['id_bytes']}")
 
-def _documents(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+
+_READ = "doc_id long, start long, n_tokens long, ids_crc32 long"
+
+
+def _documents(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for rows in parts:
-        for x in rows.itertuples(index=False):
-            ids = np.frombuffer(x.ids, f"<u{x.id_bytes}").astype("<u4", copy=False)
-            ends = EliasFano(x.n_docs, x.low_bits, x.low, x.high, x.samples).all()
-            starts = np.concatenate(([0], ends[:-1]))
-            nulls = np.unpackbits(np.frombuffer(x.doc_nulls, np.uint8), count=x.n_docs).astype(bool)
-            names = pd.array(np.frombuffer(x.doc_ids, "<i8").copy(), dtype="Int64")
-            names[nulls] = pd.NA
-            crc = [zlib.crc32(memoryview(ids[a:b]).cast("B")) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
-            yield pd.DataFrame({"doc_id": names, "start": starts + x.base + x.part_base, "n_tokens": ends - starts, "ids_crc32": crc})
+        for i in range(len(rows)):
+            (x,) = rows.slice(i, 1).to_pylist()
+            docs, starts, ends, ids = block_documents(x)
+            ids = memoryview(ids.astype("<u4", copy=False)).cast("B")
+            crc = [zlib.crc32(ids[4 * a : 4 * b]) for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+            columns = [docs, starts + x["base"] + x["part_base"], ends - starts, crc]
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in columns], names=[c.split()[0] for c in _READ.split(", ")])
 
 
 def read_token_files(spark: SparkSession, where: str) -> DataFrame:
@@ -138,16 +171,7 @@ def read_token_files(spark: SparkSession, where: str) -> DataFrame:
         base += n
     bases = spark.createDataFrame(rows, "part int, part_base long")
     joined = blocks.join(broadcast_if(bases, len(rows), 200_000), "part")
-    return joined.mapInPandas(_documents, "doc_id long, start long, n_tokens long, ids_crc32 long")
-
-
-def export_blocks(blocks: DataFrame, folder: str) -> None:
-    """Raw files on a local file system: ``part-block.ids`` and ``.ends`` (n, low_bits, low, high) per block."""
-    for x in blocks.orderBy("part", "block").toLocalIterator():
-        with open(f"{folder}/{x.part:06d}-{x.block:06d}.ids", "wb") as f:
-            f.write(x.ids)
-        with open(f"{folder}/{x.part:06d}-{x.block:06d}.ends", "wb") as f:
-            f.write(np.array([x.n_docs, x.low_bits, len(x.low)], "<i8").tobytes() + bytes(x.low) + bytes(x.high))
+    return joined.mapInArrow(_documents, _READ)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -41,7 +42,7 @@ def test_pieces_and_places(spark):
     coder = tokens.encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
     want = Counter()
     for d, t, _ in rows:
-        ids = coder.encode([t])[0] + b"\2\0\0\0"
+        ids = np.append(coder.encode(pa.array([t], pa.string()))[0], 2).astype("<u4").tobytes()
         n = len(ids) // 4
         cuts = [0, n] if n <= 1024 else sorted({0, *range(n, 0, -1024)})
         for k, (a, b) in enumerate(zip(cuts, cuts[1:], strict=False)):
