@@ -25,4 +25,4 @@ def queries() -> dict:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.SQL, "op5_chat_format": chat.SQL, "op6_secret_scan": secrets.SQL}
+    return {"op1_decontamination": decontaminate.SQL, "op3_quality_rules": quality_rules.SQL, "op5_chat_format": chat.SQL, "op6_secret_scan": secrets.SQL}
