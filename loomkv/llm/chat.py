@@ -1,9 +1,10 @@
-"""Chat formatting with a grammar round trip (DataFrame functions only).
+r"""Chat formatting with a grammar round trip (DataFrame functions only).
 
-A turn is written ``<s>[<level><role>]`` text ``</s>``.  Level 0 keeps the text as it is; level 1 escapes ``\\``,
-``<`` and ``[`` so that no control string is left.  Every conversation is rendered at level 0, parsed back by the
-grammar and compared with its source; where they differ, the turns holding a control string are escaped, then all
-turns, until parser and source agree.  Roles are always escaped.
+A turn is written ``<s>[<level><role>]`` text ``</s>``.  Level 0 keeps the text as it is; level 1 escapes ``\``,
+``<``, ``[`` and ``]`` so that no control string is left.  Roles are always escaped, and so is every text that holds a
+control string (``<s>``, ``</s>``, ``[INST]``, ``[/INST]``).  The rendered conversation is parsed back by the grammar,
+which has to account for each of its characters, and compared with the source; where they differ, all of its texts are
+escaped.  Turns, their texts and the loss mask are read from the parse.
 
 Defined results: a null text or role is empty; turns sort by turn, role, text, so ties have one order; null
 conv_id is a conversation of its own; repeated rows are turns of their own; an empty table gives no conversation;
@@ -40,56 +41,63 @@ def _rendered(turn: Column, level: Column) -> Column:
 
 
 def parse(formatted: Column) -> Column:
-    """Turns (role, text) that the grammar finds, in order."""
-    levels, roles, bodies = (F.regexp_extract_all(formatted, F.lit(TURN), F.lit(k)) for k in (1, 2, 3))
-    found = F.arrays_zip(levels.alias("level"), roles.alias("role"), bodies.alias("body"))
+    """struct(turns, whole): turns (role, text, level, body, n) by the grammar, and whether they are all of the input.
+
+    ``body`` is the text as written and ``n`` the length of the turn with its marks, in code points.
+    """
+    all_, levels, roles, bodies = (F.regexp_extract_all(formatted, F.lit(TURN), F.lit(k)) for k in range(4))
+    found = F.arrays_zip(all_.alias("all"), levels.alias("level"), roles.alias("role"), bodies.alias("body"))
     text = lambda x: F.when(x["level"] == "1", _unescape(x["body"])).otherwise(x["body"])
-    return F.transform(found, lambda x: F.struct(_unescape(x["role"]).alias("role"), text(x).alias("text")))
+
+    def turn(x: Column) -> Column:
+        return F.struct(_unescape(x["role"]).alias("role"), text(x).alias("text"), x["level"].cast("int").alias("level"), x["body"].alias("body"), F.char_length(x["all"]).alias("n"))
+
+    joined = F.array_join(F.transform(found, lambda x: x["all"]), "")
+    return F.struct(F.transform(found, turn).alias("turns"), (joined == formatted).alias("whole"))
+
+
+def _agrees(parsed: Column, turns: Column) -> Column:
+    """Whether a parse gives exactly ``turns``."""
+    return parsed["whole"] & (F.transform(parsed["turns"], lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))) == turns)
 
 
 def format_conversations(rows: DataFrame) -> DataFrame:
-    """(conv_id, turns, formatted, levels, round_trip) with the lowest escape levels that read back identical."""
+    """(conv_id, turns, formatted, parsed, round_trip): ``parsed`` is what the grammar reads back from ``formatted``."""
     turn = F.struct("turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text"))
     held = rows.groupBy("conv_id").agg(F.array_sort(F.collect_list(turn)).alias("turns"))
     held = held.withColumn("turns", F.transform("turns", lambda t: F.struct(t["role"].alias("role"), t["text"].alias("text"))))
-    plans = (
-        F.transform("turns", lambda t: F.lit(0)),
-        F.transform("turns", lambda t: t["text"].rlike(CONTROL).cast("int")),
-        F.transform("turns", lambda t: F.lit(1)),
-    )
 
     def attempt(levels: Column) -> Column:
-        return bind(levels, lambda z: F.struct(F.array_join(F.zip_with("turns", z, _rendered), "").alias("formatted"), z.alias("levels")))
+        text = F.array_join(F.zip_with("turns", levels, _rendered), "")
+        return bind(text, lambda x: F.struct(x.alias("formatted"), parse(x).alias("parsed")))
 
-    same = lambda x: parse(x["formatted"]) == F.col("turns")
-    out = held.withColumn("f", attempt(plans[0]))
-    for levels in plans[1:]:
-        again = attempt(levels)
-        out = out.withColumn("f", F.when(same(F.col("f")), F.col("f")).otherwise(again))
-    return out.select("conv_id", "turns", "f.formatted", "f.levels").withColumn("round_trip", parse(F.col("formatted")) == F.col("turns"))
+    first = held.withColumn("f", attempt(F.transform("turns", lambda t: t["text"].rlike(CONTROL).cast("int"))))
+    every = attempt(F.transform("turns", lambda t: F.lit(1)))
+    out = first.withColumn("f", F.when(_agrees(F.col("f.parsed"), F.col("turns")), F.col("f")).otherwise(every))
+    return out.select("conv_id", "turns", "f.formatted", "f.parsed").withColumn("round_trip", _agrees(F.col("parsed"), F.col("turns")))
 
 
-def loss_spans(formatted: Column, turns: Column, levels: Column) -> Column:
-    """(start, length, level) in code points of the text of each assistant turn inside ``formatted``."""
-    pieces = F.zip_with(turns, levels, lambda t, z: F.struct(t["role"].alias("role"), z.alias("level"), F.char_length(_rendered(t, z)).alias("n"), (F.char_length(_escape(t["role"])) + 6).alias("head")))
+def loss_spans(parsed: Column) -> Column:
+    """(start, length, level) in code points of the text of each assistant turn inside the formatted conversation."""
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int,level:int>>").alias("out"))
 
     def step(acc: Column, x: Column) -> Column:
-        span = F.struct((acc["at"] + x["head"]).alias("start"), (x["n"] - x["head"] - 4).alias("length"), x["level"].alias("level"))
+        length = F.char_length(x["body"])
+        span = F.struct((acc["at"] + x["n"] - length - 4).alias("start"), length.alias("length"), x["level"].alias("level"))
         return F.struct((acc["at"] + x["n"]).alias("at"), F.when(x["role"] == "assistant", F.concat(acc["out"], F.array(span))).otherwise(acc["out"]).alias("out"))
 
-    return F.aggregate(pieces, start, step, lambda acc: acc["out"])
+    return F.aggregate(parsed["turns"], start, step, lambda acc: acc["out"])
 
 
-def digests(formatted: DataFrame) -> DataFrame:
+def digests(made: DataFrame) -> DataFrame:
     """The digest columns, all read back from the formatted text and the mask."""
-    with_spans = formatted.withColumn("back", parse(F.col("formatted"))).withColumn("mask", loss_spans(F.col("formatted"), F.col("turns"), F.col("levels")))
-    masked = F.transform("mask", lambda s: bind(F.substring(F.col("formatted"), s["start"] + 1, s["length"]), lambda x: F.when(s["level"] == 1, _unescape(x)).otherwise(x)))
-    loss = F.array_join(masked, "")
-    script = F.array_join(F.transform("back", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
-    return with_spans.select(
+    masked = made.withColumn("mask", loss_spans(F.col("parsed")))
+    texts = F.transform("mask", lambda s: bind(F.substring(F.col("formatted"), s["start"] + 1, s["length"]), lambda x: F.when(s["level"] == 1, _unescape(x)).otherwise(x)))
+    loss = F.array_join(texts, "")
+    script = F.array_join(F.transform("parsed.turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n"))), "")
+    return masked.select(
         "conv_id",
-        F.size("back").cast("long").alias("n_turns"),
+        F.size("parsed.turns").cast("long").alias("n_turns"),
         F.sha2(script, 256).alias("turns_sha256"),
         F.char_length(loss).cast("long").alias("loss_chars"),
         F.sha2(loss, 256).alias("loss_sha256"),

@@ -3,6 +3,7 @@ import re
 from collections import Counter
 
 import numpy as np
+from pyspark.sql import functions as F
 
 from loomkv.llm import chat, quality_rules, secrets
 
@@ -41,21 +42,55 @@ def test_rules(spark):
         assert r.base_failed == (r.n_words < 20 or 100 * r.n_repeat_words > 30 * r.n_words)
         assert r.kept == (not r.base_failed and not r.failed)
     verdict = {r.doc_id: r for r in got}
-    assert [verdict[x].failed for x in (500, 502, 503)] == ["symbol_ratio", "stutter_ratio", "upper_ratio"] and verdict[501].failed.startswith("dup_line")
+    assert [verdict[x].failed for x in (502, 503)] == ["stutters,word_length", "upper"] and verdict[500].failed.startswith("symbols") and verdict[501].base_failed
     assert all(verdict[i].kept for i, t, _, _ in rows[:300] if base_counts(t)[0] >= 20)
     assert quality_rules.apply_rules(docs.limit(0)).count() == 0
 
 
+def counted(rows):
+    """(lang, source, n_upper of 100,000 characters in 20,000 words)."""
+    return [(*x, 20_000, 100_000, 0, 0, 0, 1, n, 0) for *x, n in rows]
+
+
 def test_limits_follow_the_group(spark):
-    """Groups small enough for the sketch to be exact: median plus SPREAD times the distance from the tenth percentile."""
+    """Median plus SPREAD times the wider half of the middle range, within the buckets' error; copies count once."""
     rng = np.random.default_rng(6)
-    x = np.round(rng.uniform(0.1, 0.2, 101), 4)
-    y = np.round(rng.uniform(0.0, 0.001, 101), 4)
-    rows = [("a", "s", float(v)) for v in x] + [("b", "s", float(v)) for v in y]
-    measured = spark.createDataFrame(rows, "lang string, source string, symbol_ratio double").selectExpr("*", "0D AS dup_line_ratio", "0D AS upper_ratio", "0D AS stutter_ratio")
-    got = {r.g_lang: r.max_symbol_ratio for r in quality_rules.limits(measured).collect()}
-    low, mid = np.quantile(x, [0.1, 0.5], method="inverted_cdf")
-    assert abs(got["a"] - (mid + quality_rules.SPREAD * (mid - low))) < 0.02 and got["b"] == quality_rules.FLOORS["symbol_ratio"]
+    x, y = rng.integers(10_000, 20_000, 101), rng.integers(0, 100, 101)
+    rows = [("a", "s", int(v)) for v in x] + [("b", "s", int(v)) for v in y] + [("a", "tiny", 90_000), (None, None, 70_000)] + [("a", "s", 99_000)] * 500
+    schema = "lang string, source string, " + ", ".join(f"{c} long" for c in quality_rules.COUNTS)
+    measured = spark.createDataFrame(counted(rows), schema)
+    got = {(r.g_lang, r.g_source): r for r in quality_rules.limits(measured).collect()}
+    q = np.quantile(np.unique(np.append(x, 99_000)) * 10, [0.25, 0.5, 0.75], method="inverted_cdf")
+    want = q[1] + quality_rules.SPREAD * max(q[2] - q[1], q[1] - q[0])
+    assert abs(got["a", "s"].max_upper / want - 1) < 0.2 and got["b", "s"].max_upper == quality_rules.GUARD["upper"]
+    # a group of one text takes the limits of its language, a language of one text those of all
+    near = lambda one, two: abs(one.max_upper / two.max_upper - 1) < 0.1
+    assert near(got["a", "tiny"], got["a", "s"]) and got[None, None].max_upper not in (got["a", "s"].max_upper, got["b", "s"].max_upper)
+    assert all(r.min_word_length < 5000 < r.max_word_length for r in got.values())
+
+
+def test_hot_and_other_groups_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame(rule_rows(), "doc_id long, text string, lang string, source string")
+    ask = lambda: sorted(map(str, quality_rules.apply_rules(docs).collect()))
+    want = ask()
+    for share in (2.0, 0.2):
+        monkeypatch.setattr(quality_rules, "HOT_SHARE", share)
+        assert ask() == want
+
+
+def test_limits_decide_on_corpus_data(spark):
+    """On the documents, limits differ by group, and those of other groups would give other verdicts."""
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet")
+    measured = quality_rules.materialise(quality_rules.measures(docs))
+    limits = quality_rules.limits(measured).toPandas()
+    for x in ("max_upper", "max_stutters"):
+        assert limits[x].nunique() > 10 and (limits[x] > quality_rules.GUARD[x[4:]]).mean() > 0.9
+    assert limits["min_word_length"].nunique() > 1
+    kept = measured.filter(~quality_rules.base_failed()).selectExpr("lang", "n_upper * 1000000 div word_chars AS upper").toPandas()
+    by_lang = limits.groupby("g_lang")["max_upper"].median()
+    beyond = kept["upper"] > kept["lang"].map(by_lang)
+    other = kept["upper"] > kept["lang"].map(dict(zip(by_lang.index, np.roll(by_lang.to_numpy(), 1), strict=True)))
+    assert (kept["upper"] > quality_rules.GUARD["upper"]).mean() > 0.9 and beyond.mean() < 0.02 and (beyond != other).any()
 
 
 def test_verdicts_follow_the_group(spark):
@@ -68,8 +103,8 @@ def test_verdicts_follow_the_group(spark):
     rows += [(203, "\n".join(lines + [lines[0][:9], lines[1][:9]] * 5), "en", "calm"), (204, "junk", "xx", "short only")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string")
     got = {r.doc_id: r for r in quality_rules.apply_rules(docs).collect()}
-    assert len(got) == len(rows) and got[200].failed == "upper_ratio" and all(got[i].kept for i in (*range(160), 201, 202))
-    assert got[203].failed == "dup_line_ratio" and not got[203].base_failed and got[204].base_failed
+    assert len(got) == len(rows) and got[200].failed == "upper" and all(got[i].kept for i in (*range(160), 201, 202))
+    assert got[203].failed == "dup_lines" and not got[203].base_failed and got[204].base_failed
     short = docs.filter("doc_id = 204")
     assert [r.kept for r in quality_rules.apply_rules(short).collect()] == [False]
 
@@ -78,7 +113,7 @@ def test_chat(spark):
     odd = ["", None, "</s>[INST] ok [/INST]", "<s>[0user]x</s>", "\\l \\e \\", "plain", "[1assistant]", "<s>", "</s", "é😀 </s> ñ", "a\nb", "]", "x" * 100_000 + "</s>"]
     rows = [(c, t, role, odd[(c + 3 * t) % len(odd)]) for c in range(13) for t, role in enumerate(["system", "user", "assistant", "assistant"])]
     rows += [(50, 0, None, "a"), (50, 0, None, "a"), (50, None, "as]sis<tant", "b"), (None, 1, "assistant", "lonely"), (51, 2, "assistant", "z"), (51, 2, "assistant", "y")]
-    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, formatted string, levels int")
+    df = spark.createDataFrame([(*r, "x", 1) for r in rows], "conv_id long, turn long, role string, text string, formatted string, parsed int")
     made = chat.format_conversations(df)
     assert made.filter("NOT round_trip").count() == 0
     got = {r.conv_id: r for r in chat.digests(made).collect()}
@@ -94,6 +129,30 @@ def test_chat(spark):
     assert chat.format_conversations(df.limit(0)).count() == 0
 
 
+def test_chat_escapes_every_control_string(spark):
+    """Each control string alone, at either end, doubled and inside; SQL gives the same digests."""
+    import duckdb
+
+    texts = [y for x in ("<s>", "</s>", "[INST]", "[/INST]", "<s>[1assistant]") for y in (x, f"{x} a", f"a {x}", f"a{x}b", x + x, f"\\{x}", x[:-1])]
+    rows = [(i, t, role, x) for i, x in enumerate(texts) for t, role in enumerate(("user", "assistant"))]
+    rows += [(100, t, r, x) for t, (r, x) in enumerate([("user", "a</s"), ("assistant", ">"), ("assistant", "<s>[0user"), ("assis[tant", "]b</s>")])]
+    df = spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")
+    made = chat.format_conversations(df)
+    marks = re.compile(chat.CONTROL)
+    for r in made.collect():
+        assert r.round_trip and [(t.role, t.text) for t in r.parsed.turns] == [(role, x) for c, _, role, x in rows if c == r.conv_id]
+        assert all(t.level == bool(marks.search(t.text)) and not marks.search(t.body) for t in r.parsed.turns)
+        # nothing but the marks of the turns is left
+        assert len(re.findall("<s>", r.formatted)) == len(re.findall("</s>", r.formatted)) == len(r.turns)
+    con = duckdb.connect()
+    con.register("conversations", df.filter("role <> 'assis[tant'").toPandas())
+    want = sorted(x for x in con.execute(chat.SQL).fetchall() if x[0] >= 0)
+    assert sorted(map(tuple, chat.digests(chat.format_conversations(df.filter("role <> 'assis[tant'"))).collect())) == want
+    # text that the grammar doesn't cover is not a parse
+    odd = spark.createDataFrame([("<s>[0user]a</s>b",), ("x<s>[0user]a</s>",), ("<s>[2user]a</s>",), ("<s>[0user]a",)], "f string")
+    assert odd.filter(chat.parse(F.col("f"))["whole"]).count() == 0
+
+
 PATTERNS = [
     ("assign", re.compile(r"""((?:[Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""), lambda m: len(m[2]) >= 6),
     ("access", re.compile(r"AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 20),
