@@ -16,9 +16,13 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from loomkv.llm.common import materialise, table
+from loomkv.llm.common import broadcast_if, materialise, size_of, table
 
 COPIED_OWNERS = 3
+#: Measured bytes up to which copied secrets or a table of spans are broadcast.
+BROADCAST_BYTES = 8 << 20
+#: Copied secrets with over this share of all spans are broadcast in any case: at most as many as its inverse.
+HOT_SHARE = 0.001
 #: kind: pattern, group that holds the secret, least length of that group
 KINDS = {
     "assign": (r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 2, 6),
@@ -67,14 +71,28 @@ def spans(scanned: DataFrame) -> DataFrame:
     placed = each.select("row", "source", "kind", "secret", "ok", (end - F.col("length")).alias("start"), end.alias("end")).filter("ok")
     owner = F.substring_index("source", "/", 1)
     pairs = placed.groupBy("secret", F.coalesce("source", F.lit("\x00")).alias("repository"), F.coalesce(owner, F.lit("\x00")).alias("owner")).agg(F.count(F.lit(1)).alias("n"))
-    owners = pairs.groupBy("secret").agg(F.countDistinct("repository").alias("repositories"), F.countDistinct("owner").alias("owners"))
-    span = F.struct("start", "kind", "end", (F.col("owners") > COPIED_OWNERS).alias("copied"), "owners")
-    per_row = placed.join(owners, "secret").groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
+    owners = pairs.groupBy("secret").agg(F.countDistinct("owner").alias("owners"), F.sum("n").alias("n"))
+    copied = materialise(owners.filter(F.col("owners") > COPIED_OWNERS).select(F.col("secret").alias("s"), "n"), "copied")
+    flagged = _flagged(placed, copied)
+    span = F.struct("start", "kind", "end", "copied")
+    per_row = flagged.groupBy("row").agg(F.array_sort(F.collect_list(span)).alias("spans"))
     base, rest = F.filter("spans", lambda s: s["kind"] < 3), F.filter("spans", lambda s: (s["kind"] == 3) & ~s["copied"])
     apart = F.filter(rest, lambda s: ~F.exists(F.col("base"), lambda b: (b["start"] < s["end"]) & (s["start"] < b["end"])))
     return per_row.withColumn("base", base).select("row", F.array_sort(F.concat("base", apart)).alias("spans"))
 
 
+def _flagged(placed: DataFrame, copied: DataFrame) -> DataFrame:
+    """``placed`` with the column ``copied``; occurrences of a hot secret stay where they are."""
+    size = size_of(copied)
+    if size <= BROADCAST_BYTES:
+        return placed.join(F.broadcast(copied.select("s")), F.col("secret") == F.col("s"), "left").withColumn("copied", F.col("s").isNotNull()).drop("s")
+    least = HOT_SHARE * (copied.agg(F.sum("n")).first()[0] or 0)
+    hot, cold = copied.filter(F.col("n") > least).select("s"), copied.filter(F.col("n") <= least).select("s")
+    first = placed.join(F.broadcast(hot), F.col("secret") == F.col("s"), "left").withColumn("hot", F.col("s").isNotNull()).drop("s")
+    rest = first.filter("NOT hot").join(cold, F.col("secret") == F.col("s"), "left").withColumn("copied", F.col("s").isNotNull()).drop("s", "hot")
+    return first.filter("hot").withColumn("copied", F.lit(True)).drop("hot").unionByName(rest)
+
+
 def _listed(found: Column) -> Column:
     names = F.array(*map(F.lit, KINDS))
     return F.array_join(F.transform(found, lambda s: F.concat_ws(":", F.get(names, s["kind"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
@@ -83,7 +101,7 @@ def _listed(found: Column) -> Column:
 def scan_documents(docs: DataFrame) -> DataFrame:
     """Counts, the digest of base spans and all spans of every document row."""
     scanned = scan(docs)
-    found = F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,copied:boolean,owners:bigint>>"))
+    found = F.coalesce("spans", F.array().cast("array<struct<start:bigint,kind:int,end:bigint,copied:boolean>>"))
     out = scanned.select("doc_id", "row").join(spans(scanned), "row", "left").withColumn("spans", found)
 
     def count(kind: str) -> Column:
@@ -98,11 +116,13 @@ def scan_documents(docs: DataFrame) -> DataFrame:
 def redact(docs: DataFrame) -> DataFrame:
     """``docs`` with every span of a base kind or an owned token replaced by ``[SECRET]``; n_chars follows.
 
-    Columns may have any names but ``loomkv_row``, ``loomkv_spans`` and ``hit_row``.
+    Equal texts have equal spans, so texts are read where they lie and meet a table of text hashes and spans.
+    Columns may have any names that don't begin with ``loomkv_``.
     """
-    keyed = materialise(docs.withColumn("loomkv_row", F.monotonically_increasing_id()), "rows")
-    scanned = scan(keyed.select(F.col("loomkv_row").alias("doc_id"), "text", "source"))
-    hit = spans(scanned).join(scanned.select("row", F.col("doc_id").alias("hit_row")), "row").filter(F.size("spans") > 0).select("hit_row", F.col("spans").alias("loomkv_spans"))
+    scanned = scan(docs.select(F.xxhash64("text").alias("doc_id"), "text", "source"))
+    found = spans(scanned).filter(F.size("spans") > 0).join(scanned.select("row", F.col("doc_id").alias("loomkv_h")), "row")
+    hit = materialise(found.groupBy("loomkv_h").agg(F.min("spans").alias("loomkv_spans")), "hits")
+    hit = broadcast_if(hit, size_of(hit), BROADCAST_BYTES)
     start = F.struct(F.lit(0).cast("long").alias("at"), F.lit("").alias("out"))
 
     def step(acc: Column, s: Column) -> Column:
@@ -111,7 +131,7 @@ def redact(docs: DataFrame) -> DataFrame:
         return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), part.alias("out"))
 
     whole = F.aggregate("loomkv_spans", start, step, lambda acc: F.concat(acc["out"], F.substring(F.col("text"), (acc["at"] + 1).cast("int"), F.char_length("text"))))
-    joined = keyed.join(hit, F.col("loomkv_row") == F.col("hit_row"), "left").withColumn("text", F.when(F.col("loomkv_spans").isNull(), F.col("text")).otherwise(whole))
+    joined = docs.join(hit, F.xxhash64("text") == F.col("loomkv_h"), "left").withColumn("text", F.when(F.col("loomkv_spans").isNull(), F.col("text")).otherwise(whole))
     if "n_chars" in docs.columns:
         joined = joined.withColumn("n_chars", F.when(F.col("loomkv_spans").isNull(), F.col("n_chars")).otherwise(F.char_length("text").cast("long")))
     return joined.select(*docs.columns)

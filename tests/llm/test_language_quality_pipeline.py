@@ -2,6 +2,7 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pyarrow.parquet as pq
 from pyspark.sql import functions as F
 
@@ -114,5 +115,5 @@ def test_pipeline_stages(spark, tmp_path):
     assert safe.columns == docs.columns and safe.count() == clean.count() and texts[201].text.endswith(" [SECRET] end") and texts[201].n_chars == len(texts[201].text)
     pieces = step["packing"](spark, safe, sf).collect()
     coder = tokens.encoder(tokens.tokenizer_path("byte_bpe_50k.json"))
-    assert sum(r.length for r in pieces) == sum(len(coder.encode([r.text])[0]) // 4 + 1 for r in safe.collect())
+    assert sum(r.length for r in pieces) == sum(len(coder.encode(pa.array([r.text], pa.string()))[0]) + 1 for r in safe.collect())
     assert len(corpus_pipeline.run(spark, sf).collect()) == len(pieces)
