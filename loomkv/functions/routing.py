@@ -8,10 +8,9 @@ from pyspark.sql import functions as F
 
 def fnv1a32(key: Column) -> Column:
     """32-bit FNV-1a of the bytes of a string or binary column; an empty key gives the offset basis."""
-    raw = key.cast("binary")
-    at = F.when(F.octet_length(raw) > 0, F.sequence(F.lit(1), F.octet_length(raw))).otherwise(F.array().cast("array<int>"))
-    byte = F.transform(at, lambda i: F.conv(F.hex(F.substring(raw, i, F.lit(1))), 16, 10).cast("long"))
-    return F.aggregate(byte, F.lit(2166136261).cast("long"), lambda h, b: (h.bitwiseXOR(b) * F.lit(16777619)).bitwiseAND(F.lit(4294967295).cast("long")))
+    chars = F.split(F.decode(key.cast("binary"), "ISO-8859-1"), "")  # a character for each byte; "" for an empty key
+    step = lambda h, c: (h.bitwiseXOR(F.ascii(c)) * F.lit(16777619)).bitwiseAND(F.lit(4294967295).cast("long"))
+    return F.aggregate(chars, F.lit(2166136261).cast("long"), lambda h, c: F.when(c == "", h).otherwise(step(h, c)))
 
 
 def shard(key: Column, n: int) -> Column:

@@ -11,40 +11,64 @@ UNITS = {"kib": 1 << 10, "mib": 1 << 20, "gib": 1 << 30, "kb": 10**3, "mb": 10**
 
 
 def _trim(x: Column) -> Column:
-    return F.regexp_replace(x, r"^[ \t\n\r]+|[ \t\n\r]+$", "")
+    return F.btrim(x, F.lit(BLANK))
+
+
+def bind(value: Column, use) -> Column:
+    """``use(value)`` with ``value`` evaluated once, however often ``use`` names it."""
+    return F.element_at(F.transform(F.array(value), use), 1)
 
 
 def token(x: Column) -> Column:
     """Trimmed and unquoted token; blank, or a lone quote, is null (a parse error); '' is the empty string."""
-    t = _trim(x)
-    quoted = t.rlike(r"""(?s)^(['"]).*\1$""") & (F.length(t) > 1)
-    return F.when(t.isin("", "'", '"'), F.lit(None).cast("string")).when(quoted, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+
+    def unquoted(t: Column) -> Column:
+        first = F.substring(t, 1, 1)
+        quoted = first.isin("'", '"') & (F.substring(t, -1, 1) == first) & (F.length(t) > 1)
+        return F.when(t.isin("", "'", '"'), F.lit(None).cast("string")).when(quoted, F.substring(t, F.lit(2), F.length(t) - 2)).otherwise(t)
+
+    return bind(_trim(x), unquoted)
 
 
 def parse_sql(text: Column) -> Column:
     """struct(op, key, value, ttl_ms, error) of one statement of the SQL subset."""
-    t = _trim(F.coalesce(text, F.lit("")))
-    low = F.lower(t)
-    where = F.instr(low, "where")
-    after = F.substring(t, where + 5, F.length(t))
-    eq = F.instr(after, "=")
-    by_key = F.when((where > 0) & (eq > 0), token(F.substring(after, eq + 1, F.length(after))))
-    values = F.instr(low, "values")
-    tail = F.substring(t, values + 6, F.length(t))
-    inside = F.when((values > 0), F.regexp_extract(tail, r"(?s)^[^(]*\(([^)]*)\)", 1))
-    part = F.split(inside, ",", -1)
-    key, value = token(F.get(part, F.lit(0))), token(F.get(part, F.lit(1)))
-    digits = F.regexp_extract(F.coalesce(token(F.get(part, F.lit(2))), F.lit("")), r"^[0-9]+", 0)
-    ttl = F.when(digits == "", F.lit(0).cast("long")).otherwise(F.coalesce(digits.try_cast("long"), F.lit(2**63 - 1)))
-    op = F.when(low.startswith("select"), "GET").when(low.startswith("insert"), "SET").when(low.startswith("delete"), "DELETE")
-    found = F.when(op == "SET", key).otherwise(by_key)
-    bad = op.isNull() | found.isNull() | ((op == "SET") & value.isNull())
-    error = F.when(bad, "parse error").when((op == "SET") & (ttl > MAX_SQL_TTL_MS), "ttl overflow")
-    ok = error.isNull()
-    return F.struct(
-        F.when(~bad, op).alias("op"), F.when(ok, found).alias("key"), F.when(ok & (op == "SET"), value).alias("value"),
-        F.when(ok & (op == "SET"), ttl).alias("ttl_ms"), error.alias("error"),
-    )
+
+    def after(s: Column, at: Column, n: int) -> Column:
+        return F.substring(s, at + n, F.length(s))
+
+    def keyed(s: Column) -> Column:
+        """The token behind the first = that follows WHERE."""
+        tail = F.when(F.instr(s["low"], "where") > 0, after(s["t"], F.instr(s["low"], "where"), 5))
+        return bind(tail, lambda x: token(F.when(F.instr(x, "=") > 0, after(x, F.instr(x, "="), 1))))
+
+    def listed(s: Column) -> Column:
+        """Tokens of the list in brackets that follows VALUES."""
+        tail = F.when(F.instr(s["low"], "values") > 0, after(s["t"], F.instr(s["low"], "values"), 6))
+        return F.transform(F.split(F.regexp_extract(tail, r"(?s)^[^(]*\(([^)]*)\)", 1), ",", -1), token)
+
+    def found(s: Column) -> Column:
+        op = F.when(s["low"].startswith("select"), "GET").when(s["low"].startswith("insert"), "SET").when(s["low"].startswith("delete"), "DELETE")
+        part = F.when(op == "SET", listed(s)).otherwise(F.array(keyed(s)))
+        return F.struct(op.alias("op"), part.alias("part"))
+
+    def judged(x: Column) -> Column:
+        op, key, value = x["op"], F.get(x["part"], F.lit(0)), F.get(x["part"], F.lit(1))
+        digits = F.regexp_extract(F.coalesce(F.get(x["part"], F.lit(2)), F.lit("")), r"^[0-9]+", 0)
+        ttl = F.when(digits == "", F.lit(0).cast("long")).otherwise(F.coalesce(digits.try_cast("long"), F.lit(2**63 - 1)))
+        bad = op.isNull() | key.isNull() | ((op == "SET") & value.isNull())
+        return F.struct(op.alias("op"), key.alias("key"), value.alias("value"), ttl.alias("ttl"), bad.alias("bad"))
+
+    def answer(y: Column) -> Column:
+        late = (y["op"] == "SET") & (y["ttl"] > MAX_SQL_TTL_MS)
+        ok = ~y["bad"] & ~late
+        error = F.when(y["bad"], "parse error").when(late, "ttl overflow")
+        return F.struct(
+            F.when(~y["bad"], y["op"]).alias("op"), F.when(ok, y["key"]).alias("key"), F.when(ok & (y["op"] == "SET"), y["value"]).alias("value"),
+            F.when(ok & (y["op"] == "SET"), y["ttl"]).alias("ttl_ms"), error.alias("error"),
+        )
+
+    both = bind(_trim(F.coalesce(text, F.lit(""))), lambda t: F.struct(t.alias("t"), F.lower(t).alias("low")))
+    return bind(bind(bind(both, found), judged), answer)
 
 
 def set_ttl(n_args: Column, option: Column, amount: Column) -> Column:

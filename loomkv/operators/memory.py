@@ -10,26 +10,33 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomkv.functions.routing import shard
+from loomkv.operators.asof import with_previous
 
 BLOCK = 1 << 16
 
 
 def running_total(rows: DataFrame, amount: str, order: str, out: str, block: int = BLOCK) -> DataFrame:
-    """Prefix sums over one global order: sums per block, a window over the few blocks, a window inside each."""
+    """Prefix sums over one global order: inside blocks, over the blocks of a block of blocks, and over those.
+
+    The last window sees a row for each ``block`` squared of the order.
+    """
     keyed = rows.withColumn("blk", F.floor(F.col(order) / block))
-    before = W.orderBy("blk").rowsBetween(W.unboundedPreceding, -1)
-    base = keyed.groupBy("blk").agg(F.sum(amount).alias("s")).select("blk", F.coalesce(F.sum("s").over(before), F.lit(0)).alias("base"))
+    sums = keyed.groupBy("blk").agg(F.sum(amount).alias("s")).withColumn("top", F.floor(F.col("blk") / block))
+    before = lambda w, x: F.coalesce(F.sum(x).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    tops = sums.groupBy("top").agg(F.sum("s").alias("t")).select("top", before(W.orderBy("top"), "t").alias("top_base"))
+    base = sums.withColumn("base", before(W.partitionBy("top").orderBy("blk"), "s")).join(tops, "top").select("blk", (F.col("base") + F.col("top_base")).alias("base"))
     own = W.partitionBy("blk").orderBy(order).rowsBetween(W.unboundedPreceding, W.currentRow)
     return keyed.withColumn("own", F.sum(amount).over(own)).join(base, "blk").withColumn(out, F.col("own") + F.col("base")).drop("own", "base", "blk")
 
 
 def deltas(log: DataFrame) -> DataFrame:
     """Signed change of resident bytes and keys of each mutation; nothing is reclaimed before it is replaced."""
-    size = F.when(F.col("op") == "SET", F.octet_length("key") + F.octet_length("value")).otherwise(0).cast("long")
-    m = log.filter("op <> 'GET'").withColumn("size", size)
-    prev = F.coalesce(F.lag("size").over(W.partitionBy("key").orderBy("seq")), F.lit(0).cast("long"))
-    live = F.coalesce(F.lag("op").over(W.partitionBy("key").orderBy("seq")) == "SET", F.lit(False)).cast("long")
-    return m.select("seq", "key", (F.col("size") - prev).alias("delta"), ((F.col("op") == "SET").cast("long") - live).alias("key_delta"))
+    held = F.coalesce(F.col("prev.op") == "SET", F.lit(False))
+    length = lambda value: F.octet_length("key") + F.coalesce(F.octet_length(value), F.lit(0))
+    size = F.when(F.col("op") == "SET", length("value")).otherwise(0).cast("long")
+    before = F.when(held, length("prev.value")).otherwise(0).cast("long")
+    m = with_previous(log.filter(F.col("op").isin("SET", "DEL")))
+    return m.select("seq", "key", (size - before).alias("delta"), ((F.col("op") == "SET").cast("long") - held.cast("long")).alias("key_delta"))
 
 
 def timeline(log: DataFrame) -> DataFrame:
@@ -39,8 +46,9 @@ def timeline(log: DataFrame) -> DataFrame:
 def with_ceiling(log: DataFrame, shards: int, max_bytes: int, overhead: int = 0) -> DataFrame:
     """(seq, shard, accepted, allocated_bytes) of each mutation when a shard rejects SETs beyond its share.
 
-    A rejected SET changes what later ones see, so each shard is walked in order; a task streams its batches and
-    holds the sizes of resident keys only.
+    A rejected SET changes what later ones see, so each shard is walked in order by one task, which streams its
+    batches and holds the sizes of the shard's resident keys: these are at most ``max_bytes / shards`` bytes of entries,
+    so the ceiling itself bounds the task.  Several shards may share a task.
     """
     share = max_bytes // shards
 

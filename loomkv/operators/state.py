@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loomkv.operators import crypto
+
 
 def moment(as_of: str | Column) -> Column:
     return F.expr(f"timestamp_ntz '{as_of}'") if isinstance(as_of, str) else as_of
@@ -45,6 +47,23 @@ def get(log: DataFrame, key: str, as_of, capacity: int | None = None) -> DataFra
     return out if capacity is None else out.filter(F.octet_length("value") <= capacity)
 
 
+def get_many(log: DataFrame, keys: list[str], as_of, capacity: int | None = None, secret: bytes | None = None) -> DataFrame:
+    """(key, found, value) of each of ``keys``; the keys are filtered in the scan.
+
+    With ``capacity``, a value that doesn't fit the reader's buffer is not found; one that is stored encrypted under
+    ``secret`` is opened into a buffer that grows, so its length doesn't matter.  A value that fails to open is not
+    found.
+    """
+    asked = log.sparkSession.createDataFrame([(k,) for k in dict.fromkeys(keys)], "asked string")
+    held = live(log.filter(F.col("key").isin(*keys)), as_of)
+    value = F.col("value") if secret is None else crypto.decrypt(F.col("value"), secret).cast("string")
+    found = F.col("key").isNotNull() & value.isNotNull()
+    if capacity is not None and secret is None:
+        found &= F.octet_length("value") <= capacity
+    out = asked.join(held, F.col("asked") == F.col("key"), "left")
+    return out.select(F.col("asked").alias("key"), found.alias("found"), F.when(found, value).alias("value"))
+
+
 def count_deleted(log: DataFrame, keys: DataFrame, as_of) -> DataFrame:
     """How many of ``keys`` (repeats count once) a multi-key delete would remove."""
     return live(log, as_of).join(keys.select("key").distinct(), "key", "left_semi").agg(F.count(F.lit(1)).alias("n_deleted"))

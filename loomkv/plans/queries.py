@@ -12,7 +12,7 @@ from loomkv.functions import latency, replies
 from loomkv.functions import text as T
 from loomkv.functions.routing import fnv1a32, shard
 from loomkv.operators import asof, crypto, expiry, memory, state
-from loomkv.plans.log import EVENTS_SQL, from_events, from_orders
+from loomkv.plans.log import EVENTS_SQL, from_events, from_orders, with_expiry
 
 AS_OF = "2024-01-20 00:00:00"
 SHARDS = 8
@@ -94,14 +94,23 @@ def kv_replay_compat(spark, d):
     return state.replay(from_events(spark, d), AS_OF)
 
 
-@query(f"{LATEST} SELECT key, seq, value, expires_at FROM live WHERE key = ''")
+#: Keys that are read one by one: live, deleted, expired and never set ones at each scale.
+ASKED = [f"user:{i}" for i in range(0, 120)] + ["", "ghost"]
+_ASKED_SQL = "asked AS (SELECT unnest([" + ", ".join(f"'{k}'" for k in ASKED) + "]) AS asked)"
+
+
+@query(f"{LATEST}, {_ASKED_SQL} SELECT asked AS key, key IS NOT NULL AS found, value FROM asked LEFT JOIN live ON key = asked")
 def kv_get(spark, d):
-    return state.get(from_events(spark, d), "", AS_OF)
+    return state.get_many(from_events(spark, d), ASKED, AS_OF)
 
 
-@query(f"{LATEST} SELECT key, seq, value, expires_at FROM live WHERE key = '' AND strlen(value) <= 8")
+@query(f"""{LATEST}, {_ASKED_SQL} SELECT asked AS key, coalesce(strlen(value) <= 8, false) AS found, CASE WHEN strlen(value) <= 8 THEN value END AS value,
+  key IS NOT NULL AS found_sealed, value AS value_sealed FROM asked LEFT JOIN live ON key = asked""")
 def kv_get_into(spark, d):
-    return state.get(from_events(spark, d), "", AS_OF, capacity=8)
+    """A buffer of eight bytes over a plain store and over an encrypted one."""
+    log = from_events(spark, d)
+    sealed = state.get_many(log.withColumn("value", crypto.encrypt(F.col("value"), KEY)), ASKED, AS_OF, capacity=8, secret=KEY)
+    return state.get_many(log, ASKED, AS_OF, capacity=8).join(sealed.select("key", F.col("found").alias("found_sealed"), F.col("value").alias("value_sealed")), "key")
 
 
 @query(f"{LATEST} SELECT count(*) AS n_deleted FROM live WHERE key IN (SELECT 'user:' || c_custkey FROM customer)")
@@ -138,8 +147,7 @@ def get_results(spark, d):
 
 @query(f"{RESOLVED} SELECT {SHARD_SQL} AS shard, sum(coalesce(pop = 'SET' AND (pexp IS NULL OR ts <= pexp), false)::INT)::BIGINT AS hits, count(*) AS gets FROM p WHERE op = 'GET' GROUP BY 1")
 def hit_miss_by_shard(spark, d):
-    g = asof.get_results(from_events(spark, d))
-    return g.groupBy(shard(F.col("key"), SHARDS).alias("shard")).agg(F.sum(F.col("hit").cast("long")).alias("hits"), F.count(F.lit(1)).alias("gets"))
+    return asof.per_shard(asof.get_results(from_events(spark, d)), SHARDS, hits=F.col("hit").cast("long"), gets=F.lit(1).cast("long"))
 
 
 @query(counters_sql("'GET'"))
@@ -167,10 +175,15 @@ def gauges_by_shard(spark, d):
     return s.agg(F.count(F.lit(1)).alias("key_count"), F.sum(F.octet_length("key") + F.octet_length("value")).alias("allocated_bytes"))
 
 
-@query(f"{GAUGES} SELECT 'shard_' || shard || '_keys ' || key_count AS line FROM g UNION ALL SELECT 'shard_' || shard || '_allocated_bytes ' || allocated_bytes FROM g")
+_METRICS = ["keys", "allocated_bytes", "hits", "misses", "expired_passive", "total_commands", "encrypted_bytes", "decrypted_bytes"]
+
+
+@query()
 def metrics_text(spark, d):
-    lines = F.array(F.format_string("shard_%d_keys %d", "shard", "key_count"), F.format_string("shard_%d_allocated_bytes %d", "shard", "allocated_bytes"))
-    return gauges_by_shard(spark, d).select(F.explode(lines).alias("line"))
+    """A line per shard and metric in the text form of metric scrapers."""
+    g = gauges_by_shard(spark, d).withColumnRenamed("key_count", "keys")
+    all_ = counters_engine(spark, d).join(g, "shard", "full").join(crypto_bytes(spark, d), "shard", "full")
+    return all_.select(F.explode(F.array(*(F.format_string(f"shard_%d_{x} %d", "shard", F.coalesce(x, F.lit(0).cast("long"))) for x in _METRICS))).alias("line"))
 
 
 DELTAS = f"""{LOG}, m AS (SELECT seq, key, op, CASE WHEN op = 'SET' THEN strlen(key) + strlen(value) ELSE 0 END AS size FROM log WHERE op <> 'GET'),
@@ -187,7 +200,14 @@ def key_count_timeline(spark, d):
     return memory.running_total(memory.deltas(from_events(spark, d)), "key_delta", "seq", "key_count").select("seq", "key_delta", "key_count")
 
 
-@query()
+@query(f"""WITH RECURSIVE {EVENTS_SQL.lstrip()}, m AS (SELECT {SHARD_SQL} AS shard, seq, op, key, strlen(key) + coalesce(strlen(value), 0) AS size FROM log WHERE op <> 'GET'),
+o AS (SELECT *, row_number() OVER (PARTITION BY shard ORDER BY seq) AS rn FROM m),
+w AS (SELECT shard, 0::BIGINT AS rn, NULL::BIGINT AS seq, NULL::BOOLEAN AS accepted, 0::BIGINT AS held, MAP {{'': 0::BIGINT}} AS sizes FROM (SELECT DISTINCT shard FROM m)
+  UNION ALL
+  SELECT shard, rn, seq, fits, CASE WHEN fits THEN held + (CASE WHEN op = 'DEL' THEN 0 ELSE size END) - coalesce(sizes[key], 0) ELSE held END,
+    CASE WHEN NOT fits THEN sizes WHEN op = 'DEL' THEN map_concat(sizes, MAP {{key: 0::BIGINT}}) ELSE map_concat(sizes, MAP {{key: size}}) END
+  FROM (SELECT o.*, w.held, w.sizes, o.op = 'DEL' OR w.held + o.size <= {2400 // SHARDS} AS fits FROM w JOIN o ON o.shard = w.shard AND o.rn = w.rn + 1))
+SELECT seq, shard, accepted, held AS allocated_bytes FROM w WHERE rn > 0""")
 def memory_ceiling(spark, d):
     return memory.with_ceiling(from_events(spark, d), SHARDS, 2400)
 
@@ -267,9 +287,7 @@ def bytesize_format(spark, d):
 
 @query(f"""{RESOLVED} SELECT seq, CASE WHEN op = 'GET' THEN CASE WHEN coalesce(pop = 'SET' AND (pexp IS NULL OR ts <= pexp), false) THEN pvalue ELSE 'ERR NOT_FOUND' END ELSE 'OK' END AS response FROM p""")
 def binary_responses(spark, d):
-    p = F.col("prev")
-    hit = F.coalesce((p["op"] == "SET") & (p["expires_at"].isNull() | (F.col("ts") <= p["expires_at"])), F.lit(False))
-    return asof.with_previous(from_events(spark, d)).select("seq", T.binary_response(F.col("op"), hit, p["value"]).alias("response"))
+    return asof.with_previous(from_events(spark, d)).select("seq", T.binary_response(F.col("op"), asof.live_before(), F.col("prev.value")).alias("response"))
 
 
 REG = f"""{LOG}, reg AS (SELECT *, {SHARD_SQL} AS shard, epoch_ms(ts) // 3600000 AS tick, least(ttl_ms // 3600000, 63)::BIGINT AS steps FROM log WHERE op = 'SET' AND ttl_ms > 0),
@@ -288,12 +306,27 @@ def wheel_overflow(spark, d):
     return r.groupBy("shard", "fire_tick").agg(F.count(F.lit(1)).alias("n_dropped"))
 
 
-@query(f"""{REG}, cur AS (SELECT key, max(seq) AS last_seq FROM log WHERE op <> 'GET' GROUP BY 1) SELECT r.seq, r.key, r.shard, r.fire_tick,
-  CASE WHEN last_seq <> r.seq THEN 'stale' WHEN r.fire_tick * 3600000 > epoch_ms(r.expires_at) THEN 'evict' ELSE 'early' END AS outcome FROM reg3 r JOIN cur USING (key) WHERE rank <= 512""")
+WHEEL_EVENTS = f"""{REG}, ev AS (SELECT ts, 0 AS kind, seq, op, key, value, expires_at, NULL::BIGINT AS fire_tick FROM log
+  UNION ALL SELECT make_timestamp(fire_tick * 3600000000), 1, seq, 'FIRE', key, NULL, NULL, fire_tick FROM reg3 WHERE rank <= 512),
+no AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY ts, kind, seq) AS n FROM ev),
+pr AS (SELECT *, last_value(CASE WHEN op IN ('SET', 'DEL') THEN seq END IGNORE NULLS) OVER (PARTITION BY key ORDER BY n ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS pseq FROM no),
+lt AS (SELECT pr.*, coalesce(m.op = 'SET', false) AS there, pr.op IN ('GET', 'FIRE') AND coalesce(m.op = 'SET' AND pr.ts > m.expires_at, false) AS late FROM pr LEFT JOIN log m ON m.seq = pr.pseq),
+gn AS (SELECT *, min(CASE WHEN late THEN n END) OVER (PARTITION BY key, pseq) AS gone FROM lt)"""
+
+
+@query(f"""{WHEEL_EVENTS} SELECT seq, key, fire_tick, CASE WHEN late AND n = gone THEN 'evict' WHEN NOT there OR late OR gone < n THEN 'gone' WHEN pseq = seq THEN 'early' ELSE 'stale' END AS outcome
+FROM gn WHERE op = 'FIRE'""")
 def wheel_outcomes(spark, d):
     return expiry.fired(from_events(spark, d), **WHEEL)
 
 
+@query(f"""{WHEEL_EVENTS} SELECT {SHARD_SQL} AS shard, sum((op = 'GET' AND there AND NOT late)::INT)::BIGINT AS hits, sum((op = 'GET' AND (NOT there OR (late AND n <> gone)))::INT)::BIGINT AS misses,
+  sum((op = 'GET' AND late AND n = gone)::INT)::BIGINT AS expired_passive, sum((op = 'FIRE' AND late AND n = gone)::INT)::BIGINT AS evicted, sum((op = 'FIRE')::INT)::BIGINT AS popped,
+  sum((op IN ('GET', 'SET'))::INT + (op = 'DEL' AND there AND (gone IS NULL OR gone >= n))::INT + (op = 'FIRE' AND late AND n = gone)::INT)::BIGINT AS total_commands FROM gn GROUP BY 1""")
+def counters_evicting(spark, d):
+    return expiry.counters_evicting(from_events(spark, d), **WHEEL)
+
+
 _BUCKET = "CASE WHEN u < 100 THEN u WHEN u < 1000 THEN 100 + (u - 100) // 10 WHEN u < 10000 THEN 190 + (u - 1000) // 100 WHEN u < 100000 THEN 280 + (u - 10000) // 1000 ELSE 370 END"
 _HIST = f"WITH h AS (SELECT ({_BUCKET})::INT AS bucket, count(*) AS n FROM (SELECT greatest(floor(value * 100)::BIGINT, 0) AS u FROM events) GROUP BY 1)"
 
@@ -317,7 +350,8 @@ def latency_percentiles(spark, d):
 
 @query("SELECT quantile_disc(value, 0.5) AS p50, quantile_disc(value, 0.99) AS p99 FROM events")
 def latency_exact(spark, d):
-    return spark.read.parquet(f"{d}/events.parquet").selectExpr("percentile_disc(0.5) WITHIN GROUP (ORDER BY value) AS p50", "percentile_disc(0.99) WITHIN GROUP (ORDER BY value) AS p99")
+    p = latency.exact_percentiles(spark.read.parquet(f"{d}/events.parquet"), "value", [0.5, 0.99])
+    return p.select(F.col("p0").alias("p50"), F.col("p1").alias("p99"))
 
 
 @query("SELECT count(*) AS n_commands, date_diff('second', min(ts), max(ts)) AS seconds, (count(*) * 1000 // date_diff('second', min(ts), max(ts)))::BIGINT AS per_1000_s FROM events")
@@ -340,10 +374,12 @@ def crypto_roundtrip(spark, d):
 
 @query(f"{RESOLVED} SELECT {SHARD_SQL} AS shard, sum(CASE WHEN op = 'SET' THEN strlen(value) + 28 ELSE 0 END)::BIGINT AS encrypted_bytes, sum(CASE WHEN op = 'GET' AND coalesce(pop = 'SET' AND (pexp IS NULL OR ts <= pexp), false) THEN strlen(pvalue) ELSE 0 END)::BIGINT AS decrypted_bytes FROM p GROUP BY 1")
 def crypto_bytes(spark, d):
-    p = F.col("prev")
-    hit = (F.col("op") == "GET") & (p["op"] == "SET") & (p["expires_at"].isNull() | (F.col("ts") <= p["expires_at"]))
-    rows = asof.with_previous(from_events(spark, d)).groupBy(shard(F.col("key"), SHARDS).alias("shard"))
-    return rows.agg(F.sum(F.when(F.col("op") == "SET", crypto.stored_length(F.col("value"), KEY)).otherwise(0)).alias("encrypted_bytes"), F.sum(F.when(hit, F.octet_length(p["value"])).otherwise(0)).alias("decrypted_bytes"))
+    rows, hit = asof.with_previous(from_events(spark, d)), asof.live_before() & (F.col("op") == "GET")
+    return asof.per_shard(
+        rows, SHARDS,
+        encrypted_bytes=F.when(F.col("op") == "SET", crypto.stored_length(F.col("value"), KEY)).otherwise(0).cast("long"),
+        decrypted_bytes=F.when(hit, F.octet_length("prev.value")).otherwise(0).cast("long"),
+    )
 
 
 @query(f"{LOG} SELECT ((seq % 16) % 8)::INT AS shard, count(DISTINCT seq % 16) AS connections, sum(16 + strlen(key) + coalesce(strlen(value), 0))::BIGINT AS bytes_read FROM log GROUP BY 1")
@@ -389,19 +425,17 @@ def ttl_by_shard(spark, d):
     return s.agg(F.round(F.percentile("ttl_ms", 0.5)).cast("long").alias("median_ttl_ms"), F.max("ttl_ms").alias("max_ttl_ms"))
 
 
-@query("SELECT c_custkey AS id, lower(c_name) = lower(upper(c_name)) AS folds, trim('  ' || c_mktsegment || chr(9), ' ' || chr(9)) AS trimmed, strlen(c_name)::INT AS n_bytes FROM customer")
+@query("SELECT c_custkey AS id, lower(c_mktsegment) = 'building' AS folds, trim('  ' || c_mktsegment || chr(9), ' ' || chr(9)) AS trimmed, strlen(c_name)::INT AS n_bytes FROM customer")
 def text_functions(spark, d):
     c = spark.read.parquet(f"{d}/customer.parquet")
     padded = F.concat(F.lit("  "), F.col("c_mktsegment"), F.lit("\t"))
-    return c.select(F.col("c_custkey").alias("id"), (F.lower("c_name") == F.lower(F.upper("c_name"))).alias("folds"), T.token(padded).alias("trimmed"), F.octet_length("c_name").alias("n_bytes"))
+    return c.select(F.col("c_custkey").alias("id"), (F.lower("c_mktsegment") == F.lower(F.lit("BuilDing"))).alias("folds"), T.token(padded).alias("trimmed"), F.octet_length("c_name").alias("n_bytes"))
 
 
 @query(f"""{RESOLVED}, h AS (SELECT *, coalesce(pop = 'SET' AND (pexp IS NULL OR ts <= pexp), false) AS hit FROM p)
 SELECT seq, CASE op WHEN 'SET' THEN '+OK' WHEN 'DEL' THEN ':' || hit::INT WHEN 'GET' THEN CASE WHEN hit THEN '$' || strlen(pvalue) || chr(13) || chr(10) || pvalue ELSE '$-1' END END || chr(13) || chr(10) AS reply FROM h""")
 def resp_replies(spark, d):
-    p = F.col("prev")
-    hit = F.coalesce((p["op"] == "SET") & (p["expires_at"].isNull() | (F.col("ts") <= p["expires_at"])), F.lit(False))
-    return asof.with_previous(from_events(spark, d)).select("seq", replies.reply(F.col("op"), hit, p["value"]).alias("reply"))
+    return asof.with_previous(from_events(spark, d)).select("seq", replies.reply(F.col("op"), asof.live_before(), F.col("prev.value")).alias("reply"))
 
 
 @query(f"""{_ARGS_SQL}, e AS (SELECT *, CASE WHEN upper(name) NOT IN ('GET','SET','DEL','PING','COMMAND') THEN 'ERR unknown command ''' || name || ''''
@@ -429,19 +463,37 @@ def workload_keys(spark, d):
     return n.withColumn("u", u).select("seq", F.concat(F.lit("key-"), (F.floor(F.col("u") * F.sqrt("u") * 50_000) % 50_000).cast("string")).alias("key"))
 
 
-@query()
-def wire_roundtrip(spark, d):
-    """Commands as RESP arrays, parsed back by the table function."""
+def _resp_frames(spark: SparkSession, d: str) -> DataFrame:
+    """(seq, ts, frame): each command as a RESP array; a SET with a ttl carries EX where whole seconds do, else PX."""
+    bulk = lambda x: F.concat(F.lit("$"), F.octet_length(x).cast("string"), F.lit("\r\n"), x, F.lit("\r\n"))
+    seconds = (F.col("ttl_ms") % 1000 == 0) & (F.col("seq") % 2 == 0)
+    option = F.array(F.when(seconds, "EX").otherwise("px"), F.when(seconds, F.expr("ttl_ms div 1000")).otherwise(F.col("ttl_ms")).cast("string"))
+    more = F.when(F.col("op") != "SET", F.array().cast("array<string>")).when(F.col("ttl_ms").isNull(), F.array("value")).otherwise(F.concat(F.array("value"), option))
+    args = F.concat(F.array("op", "key"), more)
+    frame = F.concat(F.lit("*"), F.size(args).cast("string"), F.lit("\r\n"), F.array_join(F.transform(args, bulk), ""))
+    return from_events(spark, d).select("seq", "ts", frame.cast("binary").alias("frame"))
+
+
+def _resp_commands(spark: SparkSession, d: str) -> DataFrame:
+    """The log again, from the bytes: parsed arguments, then the options of SET."""
     from loomkv.sources.wire import RespTable
 
-    spark.udtf.register("loomkv_resp", RespTable)
-    bulk = lambda x: F.concat(F.lit("$"), F.octet_length(x).cast("string"), F.lit("\r\n"), x, F.lit("\r\n"))
-    frame = F.concat(F.lit("*2\r\n"), bulk(F.col("op")), bulk(F.col("key")))
-    from_events(spark, d).filter("op <> 'SET'").select("seq", frame.cast("binary").alias("frame")).createOrReplaceTempView("loomkv_frames")
-    return spark.sql("SELECT seq, cast(args[0] AS string) AS op, cast(args[1] AS string) AS key FROM loomkv_frames, LATERAL loomkv_resp(frame)")
+    at = lambda i: F.get("args", F.lit(i)).cast("string")
+    rows = _resp_frames(spark, d).lateralJoin(RespTable(F.col("frame").outer()))
+    rows = rows.select("seq", "ts", F.upper(at(0)).alias("op"), at(1).alias("key"), at(2).alias("value"), T.set_ttl(F.size("args"), at(3), at(4)).alias("o"))
+    return with_expiry(rows.select("seq", "ts", "op", "key", "value", F.when(F.col("op") == "SET", F.col("o.ttl_ms")).alias("ttl_ms")))
 
 
-_SQL["wire_roundtrip"] = f"{LOG} SELECT seq, op, key FROM log WHERE op <> 'SET'"
+@query(f"{LOG} SELECT seq, op, key, value, ttl_ms FROM log")
+def wire_roundtrip(spark, d):
+    """Commands as RESP arrays, SETs with their options, parsed back by the table function."""
+    return _resp_commands(spark, d).select("seq", "op", "key", "value", "ttl_ms")
+
+
+@query(_SQL["resp_replies"])
+def resp_session(spark, d):
+    """From bytes to bytes: RESP arrays are parsed, run against the state and answered."""
+    return asof.with_previous(_resp_commands(spark, d)).select("seq", replies.reply(F.col("op"), asof.live_before(), F.col("prev.value")).alias("reply"))
 
 
 @query(f"{LOG} SELECT seq, 2::INT AS kind, op, key, coalesce(ttl_ms, 0) AS ttl_ms, coalesce(value, '') AS value FROM log")
@@ -449,11 +501,17 @@ def frame_roundtrip(spark, d):
     """Commands as binary frames made by expressions, decoded by the table function."""
     from loomkv.sources.wire import FrameTable
 
-    spark.udtf.register("loomkv_frame", FrameTable)
     number = lambda n, width: F.unhex(F.lpad(F.hex(n), 2 * width, "0"))
     key, value = F.col("key").cast("binary"), F.coalesce("value", F.lit("")).cast("binary")
     code = F.when(F.col("op") == "GET", 1).when(F.col("op") == "SET", 2).otherwise(3)
     body = F.concat(number(F.lit(2), 1), number(code, 1), number(F.octet_length("key"), 2), number(F.coalesce("ttl_ms", F.lit(0)), 8), key, value)
     rows = from_events(spark, d).withColumn("body", body)
-    rows.select("seq", F.concat(number(F.octet_length("body"), 4), F.col("body")).alias("frame")).createOrReplaceTempView("loomkv_binary_frames")
-    return spark.sql("SELECT seq, kind, op, cast(key AS string) AS key, ttl_ms, cast(value AS string) AS value FROM loomkv_binary_frames, LATERAL loomkv_frame(frame)")
+    frames = rows.select("seq", F.concat(number(F.octet_length("body"), 4), F.col("body")).alias("frame"))
+    decoded = frames.lateralJoin(FrameTable(F.col("frame").outer()))
+    return decoded.select("seq", "kind", "op", F.col("key").cast("string").alias("key"), "ttl_ms", F.col("value").cast("string").alias("value"))
+
+
+_SQL["metrics_text"] = f"""WITH g AS ({_SQL["gauges_by_shard"]}), c AS ({_SQL["counters_engine"]}), x AS ({_SQL["crypto_bytes"]}),
+j AS (SELECT coalesce(g.shard, c.shard, x.shard) AS shard, key_count AS keys, allocated_bytes, hits, misses, expired_passive, total_commands, encrypted_bytes, decrypted_bytes
+  FROM c FULL JOIN g ON g.shard = c.shard FULL JOIN x ON x.shard = coalesce(c.shard, g.shard))
+{" UNION ALL ".join(f"SELECT 'shard_' || shard || '_{x} ' || coalesce({x}, 0) AS line FROM j" for x in _METRICS)}"""
