@@ -446,13 +446,27 @@ def keyless_replies(spark, d):
     return _arguments(spark, d).select("seq", replies.keyless(F.col("name"), F.col("n_args"), F.col("amount")).alias("reply"))
 
 
-@query(f"{LOG} SELECT key, seq, op, value FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY seq DESC) AS rn FROM log WHERE op <> 'GET') WHERE rn = 1")
+#: The stream gets the events in so many parts of a month; one row in seven comes a part late.
+STREAM_PARTS, STREAM_DAYS, STREAM_DELAY = 4, 8, "9 days"
+_PART = f"least(date_diff('day', DATE '2024-01-01', ts::DATE) // {STREAM_DAYS} + (event_id % 7 = 3)::INT, {STREAM_PARTS - 1})"
+
+
+@query(f"""WITH {EVENTS_SQL.lstrip()}, b AS (SELECT event_id AS seq, {_PART} AS b FROM events),
+late AS (SELECT b, epoch_ms(max(ts)) - 9 * 86400000 AS wm FROM b JOIN log USING (seq) GROUP BY 1),
+wm AS (SELECT b, max(wm) OVER (ORDER BY b) AS wm FROM late),
+last AS (SELECT b, key, max(seq) AS seq FROM log JOIN b USING (seq) WHERE op <> 'GET' GROUP BY ALL),
+best AS (SELECT *, max(seq) OVER (PARTITION BY key ORDER BY b ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM last),
+ch AS (SELECT *, lead(b) OVER (PARTITION BY key ORDER BY b) AS next FROM best WHERE before IS NULL OR seq > before),
+e AS (SELECT ch.key, ch.seq, op, value, expires_at, coalesce(next - 1, {STREAM_PARTS - 1}) AS upto FROM ch JOIN log USING (seq))
+SELECT key, seq, op, value FROM e
+UNION ALL SELECT key, seq, 'EXPIRED', value FROM e JOIN wm ON wm.b = upto WHERE op = 'SET' AND epoch_ms(expires_at) < wm.wm""")
 def stream_state(spark, d):
-    """The state kept by a stream over the events: the last change of each key that it gave out, expiries aside."""
-    from loomkv.streaming.state import run_to_end
+    """Every change that the streamed state gives out, expiries too, over restarts and rows out of order."""
+    from loomkv.streaming.state import run_parts
 
-    out = run_to_end(spark, d).filter("op <> 'EXPIRED'")
-    return out.groupBy("key").agg(F.max_by(F.struct("seq", "op", "value"), "seq").alias("m")).select("key", "m.*")
+    e = spark.read.parquet(f"{d}/events.parquet")
+    part = F.least(F.expr(f"datediff(ts, DATE '2024-01-01') div {STREAM_DAYS}") + (F.col("event_id") % 7 == 3).cast("int"), F.lit(STREAM_PARTS - 1))
+    return run_parts(spark, [e.filter(part == i) for i in range(STREAM_PARTS)], STREAM_DELAY).select("key", "seq", "op", "value")
 
 
 @query(f"SELECT seq, 'key-' || (floor(u * sqrt(u) * 50000)::BIGINT % 50000) AS key FROM (SELECT event_id AS seq, {fnv_sql('key')} / 4294967296.0::DOUBLE AS u FROM (SELECT event_id, 'row:' || (event_id * 2654435761 % 4294967296) AS key FROM events))")

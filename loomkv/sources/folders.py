@@ -8,9 +8,14 @@ from pyspark.sql import SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The session's ``spark.checkpoint.dir``; a temporary folder only where none is set, as in tests."""
+    """The session's ``spark.checkpoint.dir``.
+
+    Only where everything runs in one process on one machine may it be unset; then it becomes a temporary folder.
+    """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="loomkv-")
         spark.conf.set("spark.checkpoint.dir", folder)
     return folder.rstrip("/")

@@ -11,6 +11,8 @@ import io
 import itertools
 import os
 import re
+import shutil
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -47,23 +49,58 @@ class WalReader(DataSourceReader):
                 yield shard, at, op, key, value, expiry, end, size
 
 
+class _Written(WriterCommitMessage):
+    def __init__(self, files: dict[int, str]) -> None:
+        self.files = files
+
+
 class WalWriter(DataSourceWriter):
-    """Appends records; rows of a shard must come from one task, in order."""
+    """Appends records; rows of a shard must come from one task, in order.
+
+    A task writes to files of its own attempt.  Only when all tasks are done does the commit put these behind the
+    shards' files, one after the other, so a failed, repeated or speculative attempt leaves nothing in the log.
+    """
 
     def __init__(self, path: str) -> None:
-        self.path = path
+        self.path, self.job = path, f"{path}/.job-{uuid.uuid4().hex}"
 
     def write(self, rows: Iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, mode=0o700, exist_ok=True)
+        folder = f"{self.job}/{uuid.uuid4().hex}"
+        os.makedirs(folder, mode=0o700)
         files = {}
         for r in rows:
-            f = files.get(r.shard) or files.setdefault(r.shard, open(f"{self.path}/shard_{r.shard:03d}.db", "ab"))  # noqa: SIM115
+            f = files.get(r.shard) or files.setdefault(r.shard, open(f"{folder}/{r.shard}", "wb"))  # noqa: SIM115
             f.write(encode_record(bytes(r.key), None if r.op == "DEL" else bytes(r.value or b""), r.expiry_ns or 0))
         for f in files.values():
             f.flush()
             os.fsync(f.fileno())
             f.close()
-        return WriterCommitMessage()
+        return _Written({shard: f.name for shard, f in files.items()})
+
+    def commit(self, messages: list[_Written | None]) -> None:
+        done: list[tuple[str, int]] = []
+        try:
+            for message in messages:
+                for shard, part in (message.files if message else {}).items():
+                    to = f"{self.path}/shard_{shard:03d}.db"
+                    done.append((to, os.path.getsize(to) if os.path.exists(to) else 0))
+                    if not done[-1][1]:
+                        os.replace(part, to)
+                        continue
+                    with open(part, "rb") as source, open(to, "ab") as f:
+                        shutil.copyfileobj(source, f, 1 << 20)
+                        f.flush()
+                        os.fsync(f.fileno())
+        except BaseException:
+            for to, size in done:
+                if os.path.exists(to):
+                    os.truncate(to, size)
+            raise
+        finally:
+            shutil.rmtree(self.job, ignore_errors=True)
+
+    def abort(self, messages: list[_Written | None]) -> None:
+        shutil.rmtree(self.job, ignore_errors=True)
 
 
 class WalSource(DataSource):

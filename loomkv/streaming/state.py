@@ -1,4 +1,10 @@
-"""The key/value state kept by Structured Streaming, one state value per key with an event-time timer."""
+"""The key/value state kept by Structured Streaming, one state value per key with event-time timers.
+
+Rows may come late by ``delay`` at most: the watermark is the latest timestamp seen in the batches before, less
+``delay``, and rows that are older than it are dropped, in whichever batch they come.  Within that bound the order of
+arrival doesn't matter: the mutation of the highest ``seq`` wins, and a deletion stays as a tombstone until the
+watermark has passed it, so an older SET that comes after it changes nothing.
+"""
 
 from __future__ import annotations
 
@@ -7,12 +13,14 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from loomkv.plans.log import commands
 from loomkv.sources.folders import shared_dir
 
 OUT = "key string, seq long, op string, value string, expires_ms long"
+PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
 class KeyState(StatefulProcessor):
@@ -20,33 +28,41 @@ class KeyState(StatefulProcessor):
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.entry = handle.getValueState("entry", "seq long, value string, expires_ms long")
+        self.entry = handle.getValueState("entry", "seq long, op string, ts_ms long, value string, expires_ms long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
+        watermark = timerValues.getCurrentWatermarkInMs()
         last = None
         for part in rows:
-            for r in part.itertuples(index=False):
-                if r.op != "GET" and (last is None or r.seq > last.seq):
-                    last = r
+            part = part[part["ts_ms"] >= watermark]
+            if len(part) and (last is None or part["seq"].max() > last["seq"]):
+                last = part.loc[part["seq"].idxmax()]
         known = self.entry.get() if self.entry.exists() else None
-        if last is None or (known is not None and known[0] > last.seq):
+        if last is None or (known is not None and known[0] > last["seq"]):
             return
-        expires = None if pd.isna(last.expires_ms) else int(last.expires_ms)
-        if last.op == "DEL":
-            self.entry.clear()
-        else:
-            self.entry.update((int(last.seq), last.value, expires))
-            if expires is not None:
-                self.handle.registerTimer(expires + 1)
-        yield pd.DataFrame([(key[0], int(last.seq), last.op, last.value, expires)], columns=["key", "seq", "op", "value", "expires_ms"]).astype({"expires_ms": "Int64"})
+        seq, ts = int(last["seq"]), int(last["ts_ms"])
+        expires = None if pd.isna(last["expires_ms"]) else int(last["expires_ms"])
+        self.entry.update((seq, last["op"], ts, last["value"], expires))
+        if last["op"] == "DEL":
+            self.handle.registerTimer(ts + 1)
+        elif expires is not None:
+            self.handle.registerTimer(expires + 1)
+        yield self._row(key, seq, last["op"], last["value"], expires)
+
+    def _row(self, key, *values) -> pd.DataFrame:
+        return pd.DataFrame([(key[0], *values)], columns=[x.split()[0] for x in OUT.split(", ")]).astype({"expires_ms": "Int64"})
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
         if not self.entry.exists():
             return
-        seq, value, expires = self.entry.get()
-        if expires is not None and expires < expiredTimerInfo.getExpiryTimeInMs():
+        seq, op, ts, value, expires = self.entry.get()
+        moment = expiredTimerInfo.getExpiryTimeInMs()
+        if op == "DEL":
+            if ts < moment:
+                self.entry.clear()
+        elif expires is not None and expires < moment:
             self.entry.clear()
-            yield pd.DataFrame([(key[0], seq, "EXPIRED", value, expires)], columns=["key", "seq", "op", "value", "expires_ms"]).astype({"expires_ms": "Int64"})
+            yield self._row(key, seq, "EXPIRED", value, expires)
 
     def close(self) -> None:
         pass
@@ -57,32 +73,48 @@ def stream_state(log: DataFrame, delay: str = "0 seconds") -> DataFrame:
 
     Needs the RocksDB state store: ``spark.sql.streaming.stateStore.providerClass``.
     """
-    rows = log.selectExpr("seq", "cast(ts AS timestamp) AS ts", "op", "key", "value", "unix_millis(cast(expires_at AS timestamp)) AS expires_ms")
-    keyed = rows.withWatermark("ts", delay).groupBy("key")
-    return keyed.transformWithStateInPandas(KeyState(), OUT, "Update", "EventTime")
+    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
+    rows = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    # GETs move the watermark but don't reach the state
+    changes = rows.filter(F.col("op").isin("SET", "DEL")).select("seq", "ts", ms("ts").alias("ts_ms"), "op", "key", "value", ms("expires_at").alias("expires_ms"))
+    return changes.groupBy("key").transformWithStateInPandas(KeyState(), OUT, "Update", "EventTime")
 
 
-def run_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All changes of the state over the events present now: available-now trigger, each batch appended to Parquet."""
-    schema = spark.read.parquet(f"{sf_dir}/events.parquet").schema
-    events = spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
-    folder = f"{shared_dir(spark)}/loomkv/stream-{uuid.uuid4().hex}"
-    provider = "spark.sql.streaming.stateStore.providerClass"
-    before = spark.conf.get(provider)
-    spark.conf.set(provider, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+def read_commands(spark: SparkSession, folder: str, schema, max_bytes: str | None = None, max_files: int | None = None) -> DataFrame:
+    """A streaming log over Parquet files of events that arrive in ``folder``.
+
+    ``max_bytes`` and ``max_files`` bound what one batch takes, so a backlog doesn't flood the state.
+    """
+    reader = spark.readStream.schema(schema)
+    for name, value in (("maxBytesPerTrigger", max_bytes), ("maxFilesPerTrigger", max_files)):
+        if value is not None:
+            reader = reader.option(name, value)
+    return commands(reader.parquet(folder))
+
+
+def run_available(spark: SparkSession, changes: DataFrame, checkpoint: str, out: str) -> None:
+    """Take in all that is there now, each batch written once to a folder of its own under ``out``."""
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
     try:
-        changes = stream_state(commands(events))
-        writer = changes.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", f"{folder}/checkpoint")
-        writer.foreachBatch(lambda part, n: part.write.mode("overwrite").parquet(f"{folder}/changes/batch={n}")).start().awaitTermination()
+        writer = changes.writeStream.outputMode("update").trigger(availableNow=True).option("checkpointLocation", checkpoint)
+        writer.foreachBatch(lambda part, n: part.write.mode("overwrite").parquet(f"{out}/batch={n}")).start().awaitTermination()
     finally:
-        spark.conf.set(provider, before)
+        spark.conf.set(PROVIDER, before)
+
+
+def run_parts(spark: SparkSession, parts: list[DataFrame], delay: str) -> DataFrame:
+    """All changes when ``parts`` (events) arrive one after the other, the stream stopped and started anew between them."""
+    folder = f"{shared_dir(spark)}/loomkv/stream-{uuid.uuid4().hex}"
+    for part in parts:
+        part.write.mode("append").parquet(f"{folder}/events")
+        log = read_commands(spark, f"{folder}/events", part.schema)
+        run_available(spark, stream_state(log, delay), f"{folder}/checkpoint", f"{folder}/changes")
     return spark.read.schema(f"{OUT}, batch long").parquet(f"{folder}/changes")
 
 
 def op_rates(log: DataFrame, width: str = "1 hour", delay: str = "1 hour") -> DataFrame:
     """Commands per window and kind; batch or streaming (extension)."""
-    from pyspark.sql import functions as F
-
     rows = log.withColumn("ts", F.col("ts").cast("timestamp"))
     rows = rows.withWatermark("ts", delay) if log.isStreaming else rows
     return rows.groupBy(F.window("ts", width), "op").agg(F.count(F.lit(1)).alias("n"))

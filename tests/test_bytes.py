@@ -77,6 +77,57 @@ def test_log_files(spark, tmp_path):
     assert wal.read_wal(spark, str(tmp_path / "none")).count() == 0
 
 
+def test_a_failed_write_leaves_nothing(spark, tmp_path):
+    """An attempt that fails or isn't committed, or a job that fails, adds nothing; what was there stays."""
+    folder = tmp_path / "wal"
+    schema = "shard int, seq long, op string, key binary, value binary, expiry_ns long"
+    good = spark.createDataFrame([(i % 2, i, "SET", f"k{i}".encode(), b"v", 0) for i in range(40)], schema)
+    wal.write_wal(good, str(folder), 2)
+    before = {p.name: p.read_bytes() for p in folder.iterdir()}
+
+    class Row:
+        def __init__(self, shard, key):
+            self.shard, self.op, self.key, self.value, self.expiry_ns = shard, "SET", key, b"w", 0
+
+    def broken():
+        yield Row(0, b"half")
+        raise OSError("disk")
+
+    writer = wal.WalWriter(str(folder))
+    with pytest.raises(OSError):
+        writer.write(broken())
+    again = [writer.write(iter([Row(0, b"x"), Row(1, b"y")])), writer.write(iter([Row(0, b"x"), Row(1, b"y")]))]
+    assert {p.name: p.read_bytes() for p in folder.iterdir() if p.is_file()} == before
+    writer.commit([again[1], None])  # the other attempt was a speculative one
+    assert sorted(p.name for p in folder.iterdir()) == sorted(before)
+    assert (folder / "shard_000.db").read_bytes() == before["shard_000.db"] + wal.encode_record(b"x", b"w")
+    other = wal.WalWriter(str(folder))
+    parts = other.write(iter([Row(0, b"z"), Row(1, b"z")]))
+    now = {p.name: p.read_bytes() for p in folder.iterdir() if p.is_file()}
+    parts.files[1] += "-lost"
+    with pytest.raises(OSError):
+        other.commit([parts])
+    assert {p.name: p.read_bytes() for p in folder.iterdir()} == now
+    other = wal.WalWriter(str(folder))
+    other.write(iter([Row(0, b"z")]))
+    other.abort([])
+    assert {p.name: p.read_bytes() for p in folder.iterdir()} == now
+
+
+def test_shared_folder_must_be_named_on_a_cluster():
+    from types import SimpleNamespace
+
+    from loomkv.sources.folders import shared_dir
+
+    kept = {}
+    conf = SimpleNamespace(get=kept.get, set=kept.__setitem__)
+    session = lambda master: SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master=master))
+    for master in ("yarn", "spark://host:7077", "local-cluster[2,1,1024]"):
+        with pytest.raises(ValueError):
+            shared_dir(session(master))
+    assert shared_dir(session("local[2]")) == kept["spark.checkpoint.dir"] == shared_dir(session("yarn"))
+
+
 def test_hash_and_shards(spark):
     known = {"": 2166136261, "a": 3826002220, "foobar": 3214735720, "mykey": 2981032458}
     rows = spark.createDataFrame([(k,) for k in known], "k string").select("k", fnv1a32(F.col("k")).alias("h")).collect()
@@ -98,7 +149,8 @@ def test_encryption(spark):
 def test_settings():
     c = EngineConfig.load({"shards": "4"}, {"LOOMKV_SHARDS": "9", "LOOMKV_MAX_MEM_BYTES": "4GiB", "LOOMKV_WHEEL_SLOTS": "64"})
     assert (c.shards, c.max_mem_bytes, c.wheel_slots, c.evict_interval_ms) == (4, 4 << 30, 64, 1000)
-    for bad in ({"shards": "x"}, {"shards": "0"}, {"max_mem_bytes": "4 GiBs"}, {"encryption_key": "short"}, {"log_level": "loud"}):
+    assert EngineConfig.load({"encrypt": "true", "encryption_key": "k" * 32}, {"LOOMKV_EVICT": "0"}) == EngineConfig(encrypt=True, encryption_key="k" * 32, evict=False)
+    for bad in ({"evict": "maybe"}, {"encrypt": "1"}, {"no_such": 1}, {"shards": "x"}, {"shards": "0"}, {"max_mem_bytes": "4 GiBs"}, {"encryption_key": "short"}, {"log_level": "loud"}):
         with pytest.raises(ValueError):
             EngineConfig.load(bad, {})
 

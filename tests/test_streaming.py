@@ -51,6 +51,27 @@ def test_changes_and_timers(spark, log_files, tmp_path):
     assert {k: v for k, v in last.items() if v is not None} == now == {"c": "1", "d": "y"}
 
 
+def test_order_of_arrival(spark, tmp_path):
+    """Within the delay an older SET that comes after its deletion changes nothing, in three batches; beyond it rows are dropped."""
+    from loomkv.plans.log import with_expiry
+    from loomkv.streaming.state import run_available
+
+    batches = [
+        [(1, 0, "SET", "a", "old", 0), (5, 500, "DEL", "a", None, None), (2, 100, "SET", "b", "1", 300)],
+        [(3, 200, "SET", "a", "late", 0), (4, 300, "SET", "c", "1", 0), (6, 600, "SET", "d", "1", 0)],
+        [(0, 50, "SET", "c", "older", 0), (8, 2000, "SET", "e", "1", 0)],
+        [(7, 700, "SET", "f", "too late", 0), (9, 2500, "GET", "f", None, None)],
+    ]
+    schema = spark.createDataFrame([], LOG).schema
+    for rows in batches:
+        data = [(s, T0 + dt.timedelta(milliseconds=ms), op, k, v, ttl) for s, ms, op, k, v, ttl in rows]
+        spark.createDataFrame(data, LOG).coalesce(1).write.mode("append").parquet(f"file://{tmp_path}/in")
+        stream = with_expiry(spark.readStream.schema(schema).parquet(f"file://{tmp_path}/in"))
+        run_available(spark, stream_state(stream, "1 second"), f"file://{tmp_path}/c", f"file://{tmp_path}/out")
+    got = {(r.key, r.seq, r.op) for r in spark.read.parquet(f"file://{tmp_path}/out").collect()}
+    assert got == {("a", 5, "DEL"), ("b", 2, "SET"), ("b", 2, "EXPIRED"), ("c", 4, "SET"), ("d", 6, "SET"), ("e", 8, "SET")}
+
+
 def test_rates(spark, log_files, tmp_path):
     stream, batch = log_files
     want = {(r.window.start, r.op): r.n for r in op_rates(batch, "1 second", "0 seconds").collect()}
