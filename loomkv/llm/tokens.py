@@ -19,7 +19,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Pieces that a worker's cache holds before it starts anew, and the longest piece that it keeps.
-CACHE_PIECES, CACHE_BYTES = 500_000, 48
+CACHE_PIECES, CACHE_BYTES = 200_000, 48
 #: Bytes and rows of text that are worked on at a time, whole texts.
 STEP_BYTES, STEP_ROWS = 4 << 20, 1024
 _encoders: dict[str, Encoder] = {}
