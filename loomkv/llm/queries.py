@@ -19,10 +19,11 @@ def queries() -> dict:
         "op8_packing": packing.query,
         "op9_sharding": sharding.query,
         "op10_quality_model": quality_model.query,
+        "decontamination_proximity": decontaminate.proximity_query,
         "pages_language_id": language_id.pages_query,
         "pipeline": corpus_pipeline.run,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_decontamination": decontaminate.SQL, "op3_quality_rules": quality_rules.SQL, "op5_chat_format": chat.SQL, "op6_secret_scan": secrets.SQL}
+    return {"op1_decontamination": decontaminate.SQL, "decontamination_proximity": decontaminate.PROXIMITY_SQL, "op3_quality_rules": quality_rules.SQL, "op5_chat_format": chat.SQL, "op6_secret_scan": secrets.SQL}

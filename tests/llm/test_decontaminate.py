@@ -25,7 +25,7 @@ def slow(docs, items, n=10):
                         hit |= set(range(at, at + k))
                         found.add(i)
         ids = sorted(str(i) for i in found if i is not None)
-        out.append((str(d), len(w), len(hit), len(found), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
+        out.append((str(d), len(w), len(hit), len(found - {None}), hashlib.sha256(",".join(ids).encode()).hexdigest(), bool(hit)))
     return sorted(out)
 
 
@@ -58,7 +58,36 @@ def test_shuffled_joins_give_the_same(spark, monkeypatch):
     assert ask() == want and sum(r[-1] for r in want) > 0
 
 
-def test_proximity(spark):
-    docs = spark.createDataFrame([(1, "red big cat and a red cat"), (2, "red x x x x cat"), (3, None)], "doc_id long, text string")
-    got = sorted((r.doc_id, r.start, r.end) for r in decontaminate.proximity_search(docs, ["red", "cat"], 3).collect())
-    assert got == [(1, 0, 2), (1, 5, 6)]
+def slow_spans(docs, queries, within):
+    out = set()
+    for d, t in docs:
+        w = words(t)
+        for q, terms in queries:
+            for end in range(len(w)):
+                places = [[i for i in range(end + 1) if w[i] == x] for x in set(terms or ())]
+                if places and w[end] in terms and all(places) and end - (start := min(p[-1] for p in places)) < within:
+                    out.add((str(d), t, q, start, end))
+    return sorted(out)
+
+
+def test_proximity_against_brute_force(spark):
+    """Rows that share an id or have none stay apart; columns of clashing names, nulls, empty and long texts."""
+    rng = np.random.default_rng(9)
+    docs = [(i, " ".join(f"W{x}" for x in rng.integers(0, 25, 60))) for i in range(25)]
+    docs += [(1, "alpha x"), (1, "y beta"), (None, "alpha z"), (None, "z beta"), (None, "alpha beta alpha"), (30, None), (31, ""), (32, "zz " * 70_000 + "alpha, Beta"), (1, "alpha x")]
+    queries = [("ab", ["alpha", "beta"]), ("one", ["w3"]), ("two", ["w1", "w2"]), ("three", ["w4", "w5", "w6"]), ("same", ["w7", "w7"]), ("none", []), ("null", None), ("absent", ["w1", "nowhere"])]
+    df = spark.createDataFrame([(d, t, 1, "x", "y") for d, t in docs], "doc_id long, text string, pos int, term string, query string")
+    ask = spark.createDataFrame(queries, "query string, terms array<string>")
+    digest = {r.h: r.text for r in df.select("text", decontaminate.F.xxhash64("text").alias("h")).collect()}
+    for within in (1, 4, 30):
+        got = sorted((str(r.doc_id), digest[r.digest], r.query, r.start, r.end) for r in decontaminate.proximity_search(df, ask, within).collect())
+        short = [(d, t if t is None or len(t) < 10_000 else None) for d, t in docs]
+        assert [x for x in got if len(x[1]) < 10_000] == slow_spans(short, queries, within)
+        assert [x[2:] for x in got if len(x[1]) >= 10_000] == ([("ab", 70_000, 70_001)] if within > 1 else [])
+    assert decontaminate.proximity_search(df.limit(0), ask, 3).count() == decontaminate.proximity_search(df, ask.limit(0), 3).count() == 0
+
+
+def test_rarest_terms(spark):
+    docs = spark.createDataFrame([(1, "a a a b b c d"), (2, "a d")], "doc_id long, text string")
+    bench = spark.createDataFrame([(1, "A b c, d"), (2, "nowhere a"), (None, "a"), (3, None)], "item_id long, text string")
+    assert {r.query: r.terms for r in decontaminate.rarest_terms(docs, bench).collect()} == {1: ["b", "c", "d"], 2: ["a"]}
