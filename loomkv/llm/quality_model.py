@@ -1,6 +1,6 @@
 """Quality classifier on supervised subword embeddings.
 
-A document is the average of learned vectors of its hashed words, of byte n-grams that run over word ends, and of
+A document is the average of learned vectors of its hashed words, of character n-grams that run over word ends, and of
 a mark for each word equal to the word before it; a softmax layer reads the average.  Vectors and layer are trained
 by numpy stochastic gradient descent on a bounded sample of labelled rows.  Because averaging is linear, the trained
 vectors fold into one number per bucket and a document costs one lookup per feature.
@@ -33,21 +33,22 @@ REPEAT = 0
 
 def features(text: str) -> np.ndarray:
     """Buckets of all features of a text, repeats included."""
-    raw = text.encode("utf-8", "replace")
-    words = raw.split()
+    words = text.split()
     if not words:
         return np.zeros(0, np.uint32)
-    ids = np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
-    parts = [ids, np.full(int((ids[1:] == ids[:-1]).sum()), REPEAT, np.uint32)]
-    b = np.frombuffer(b" ".join([b"", *words, b""]), np.uint8)
+    joined = " ".join(words)
+    ids = np.fromiter(map(zlib.crc32, joined.encode("utf-8", "replace").split(b" ")), np.uint32, len(words))
+    again = np.full(int((ids[1:] == ids[:-1]).sum()), REPEAT, np.uint32)
+    parts = [ids]
+    b = np.frombuffer(f" {joined} ".encode("utf-32-le", "replace"), np.uint32)
     for n in N_GRAMS:
         if len(b) >= n:
             h = np.full(len(b) - n + 1, 2_166_136_261 + n, np.uint32)
             for k in range(n):
                 h = (h ^ b[k : len(b) - n + 1 + k]) * np.uint32(16_777_619)
             parts.append(h ^ (h >> np.uint32(15)))
-    out = np.concatenate(parts) % np.uint32(BUCKETS)
-    return out
+    # bucket 0 is the mark's own
+    return np.concatenate([np.concatenate(parts) % np.uint32(BUCKETS - 1) + np.uint32(1), again])
 
 
 def train(texts: list[str], labels: list[int], seed: int = 7) -> tuple[np.ndarray, float]:

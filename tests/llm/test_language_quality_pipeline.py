@@ -33,6 +33,43 @@ def test_language_evidence_and_edges(spark):
     assert none.count() == len(rows + odd)
 
 
+def test_held_out_languages(spark):
+    """Documents whose declaration is taken away teach nothing and are told by text and host alone."""
+    out = quality_model.held_out(F.col("doc_id"))
+    docs = spark.read.parquet(f"{SF}/documents.parquet").withColumnRenamed("lang", "right").withColumn("lang", F.when(~out, F.col("right")))
+    got = language_id.identify_documents(docs).join(docs.filter(out).select("doc_id", "right"), "doc_id").collect()
+    assert len(got) > 200 and np.mean([r.text_lang == r.right for r in got]) > 0.98 and np.mean([r.pred_lang == r.right for r in got]) > 0.98
+
+
+def test_fusion_against_plain_python(spark):
+    rng = np.random.default_rng(2)
+    words = {"en": "the house and river with this thing".split(), "de": "das Haus und der Fluss schön nicht".split(), "fr": "la maison et le fleuve être".split()}
+    hosts = ["a.x.de", "b.x.de", "www.y.org", "z.fr", "plain", None, "q.uk"]
+    rows = []
+    for i in range(120):
+        x = ("en", "de", "fr")[i % 3]
+        mixed = [*rng.choice(words[x], int(rng.integers(0, 9))), *rng.choice(words[("de", "fr", "en")[i % 3]], int(rng.integers(0, 6)))]
+        rows.append((i, " ".join(mixed) or None, (x, None, "en")[int(rng.integers(3))], hosts[int(rng.integers(len(hosts)))]))
+    df = spark.createDataFrame(rows, "key long, text string, declared string, host string")
+    langs, logs = language_id.fit_text_models(df)
+    priors = {r.p_host: r.prior for r in language_id.host_priors(df, langs).collect()}
+    for r in language_id.identify(df).collect():
+        _, text, declared, host = rows[r.key]
+        c = language_id.codes(text) if text else []
+        score = []
+        for i, x in enumerate(langs):
+            s = logs[c, i].astype(float).mean() * min(len(c), language_id.TEMPER) if len(c) else 0.0
+            s += np.log(priors[host][i])
+            if declared in langs:
+                s += np.log(language_id.DECLARED_RIGHT if declared == x else (1 - language_id.DECLARED_RIGHT) / (len(langs) - 1))
+            ending = language_id.SUFFIXES.get(host.rsplit(".", 1)[1]) if host and "." in host else None
+            if ending in langs:
+                s += np.log(language_id.SUFFIX_RIGHT if ending == x else (1 - language_id.SUFFIX_RIGHT) / (len(langs) - 1))
+            score.append(s)
+        p = np.exp(np.array(score) - max(score))
+        assert r.pred_lang == langs[int(np.argmax(score))] and abs(r.confidence - p.max() / p.sum()) < 1e-4
+
+
 def test_rare_languages_have_a_model(spark, monkeypatch):
     """However few its rows are beside the sample, a declared language is known; so is one of long texts only."""
     monkeypatch.setattr(language_id, "MODEL_ROWS", 20)
@@ -76,6 +113,22 @@ def test_quality_held_out_accuracy():
     assert len(out) > 60 and right / len(out) > 0.93
 
 
+def test_features_are_of_characters():
+    one, two = quality_model.features("ñandú über"), quality_model.features("ñandú über über")
+    assert len(one) == 2 + (12 - 2) + (12 - 4) and (two == quality_model.REPEAT).sum() == 1 and not (one == quality_model.REPEAT).any()
+    assert quality_model.features("a \n\tb").tolist() == quality_model.features(" a b ").tolist() and not len(quality_model.features(" \n "))
+
+
+def test_held_out_labels_teach_nothing(spark):
+    docs, labels = (spark.read.parquet(f"{SF}/{t}.parquet") for t in ("documents", "labels"))
+    weights, bias = quality_model.fit(docs, labels)
+    turned = labels.withColumn("quality", F.when(quality_model.held_out(F.col("doc_id")), 1 - F.col("quality")).otherwise(F.col("quality")))
+    again, other = quality_model.fit(docs, turned)
+    assert (weights == again).all() and bias == other
+    changed, _ = quality_model.fit(docs, labels.withColumn("quality", 1 - F.col("quality")))
+    assert (weights != changed).any()
+
+
 def test_quality_rows(spark):
     rows = [(i, ("good words all around here " if i % 3 else "bad bad bad junk ") * (1 + i % 5), "x") for i in range(160)] + [(3, None, "x"), (3, "", "x"), (None, "good words", None), (999, "good " * 30_000, "x")]
     docs = spark.createDataFrame(rows, "doc_id long, text string, score string")
