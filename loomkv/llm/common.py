@@ -7,6 +7,7 @@ rows that repeat.  Intermediate tables go to the folder named by ``spark.checkpo
 from __future__ import annotations
 
 import atexit
+import contextlib
 import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -42,10 +43,27 @@ def scratch(spark: SparkSession, label: str) -> str:
     return where
 
 
+#: Rows that go to a Python worker at a time where whole texts go there; the session's number, 10,000, takes tens of MB.
+ARROW_ROWS = 2000
+_ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
+
+
+@contextlib.contextmanager
+def small_batches(spark: SparkSession):
+    """Jobs that run inside send ``ARROW_ROWS`` rows at a time to Python workers."""
+    before = spark.conf.get(_ARROW)
+    spark.conf.set(_ARROW, str(min(ARROW_ROWS, int(before)) if int(before) > 0 else ARROW_ROWS))
+    try:
+        yield
+    finally:
+        spark.conf.set(_ARROW, before)
+
+
 def materialise(df: DataFrame, label: str = "t") -> DataFrame:
     """Write ``df`` to the shared folder and read it back: lineage ends there and lost executors cost nothing."""
     where = scratch(df.sparkSession, label)
-    df.write.option("compression", "zstd").parquet(where)
+    with small_batches(df.sparkSession):
+        df.write.option("compression", "zstd").parquet(where)
     return df.sparkSession.read.schema(df.schema).parquet(where)
 
 
@@ -68,6 +86,18 @@ def broadcast_if(df: DataFrame, size: int, bound: int) -> DataFrame:
     return F.broadcast(df) if size <= bound else df
 
 
+def join_hot(rows: DataFrame, keyed: DataFrame, key: str, size: str, share: float = 0.001) -> DataFrame:
+    """``rows`` with the columns of ``keyed``, which has one row for each ``key`` and in ``size`` the rows that it has.
+
+    Keys with over ``share`` of all rows are at most its inverse in number: they are broadcast, so their rows stay where
+    they are; the others have no hot key and are shuffled.
+    """
+    total = keyed.agg(F.sum(size)).first()[0] or 0
+    hot, cold = keyed.filter(F.col(size) > share * total), keyed.filter(F.col(size) <= share * total)
+    at_home = rows.join(F.broadcast(hot), key)
+    return at_home.unionByName(rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(cold, key))
+
+
 def size_of(df: DataFrame) -> int:
     """Bytes of a written table: its columns' own sizes and 16 for each row."""
     each = F.lit(16).cast("long")

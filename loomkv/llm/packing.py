@@ -1,7 +1,8 @@
 """Best-fit packing of documents into sequences by pattern packing.
 
 Documents become pieces of at most ``capacity`` tokens.  The histogram of piece lengths, at most ``capacity``
-numbers, is all that the driver sees.  Patterns of two or three lengths that fill a sequence are enumerated,
+numbers, is all that the driver sees.  Patterns of two or three lengths, of the latter every so-manieth so that there
+are ``MAX_PATTERNS`` at most (which bounds the fit; pieces that no kept pattern holds are left to the residual), that fill a sequence are enumerated,
 their repeat counts are fitted to the histogram by non-negative least squares and rounded down.  Patterns that leave
 over a hundredth of a sequence empty, as those of short lengths do, are not used; what is left is packed best-fit, again as repeated patterns.  The plan is arithmetic: the k-th piece of a length lies in a
 known sequence at a known offset, so pieces are placed without moving tokens.
@@ -163,11 +164,12 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
     Full pieces are sequences of their own.  The others are numbered within their length: by bucket of a hash,
     with bucket offsets from one grouped count, so that no length meets in one task.
     """
-    cut = materialise(cut, "pieces")
+    # the salt, written once, parts rows that are alike in all columns
+    cut = materialise(cut.withColumn("salt", F.xxhash64("doc_id", "piece", "ids_crc32", F.monotonically_increasing_id())), "pieces")
     full = cut.filter(F.col("length") == capacity).withColumns({"sequence_id": F.lit(1 << 62) + F.monotonically_increasing_id(), "offset": F.lit(0).cast("long")})
     rest = cut.filter(F.col("length") < capacity)
     buckets = min(4096, max(64, rest.count() // 4_000_000))
-    rest = rest.withColumn("bucket", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(buckets)).cast("int"))
+    rest = rest.withColumn("bucket", F.pmod("salt", F.lit(buckets)).cast("int"))
     # at most capacity * buckets numbers, whatever the number of pieces
     counts = rest.groupBy("length", "bucket").agg(F.count(F.lit(1)).alias("n")).toPandas().sort_values(["length", "bucket"])
     histogram = {int(k): int(v) for k, v in counts.groupby("length")["n"].sum().items()}
@@ -188,9 +190,9 @@ def pack(cut: DataFrame, capacity: int = CAPACITY) -> DataFrame:
             out[here, 0], out[here, 1] = hit[:, 1] + ordinal - hit[:, 0], hit[:, 2]
         return pd.DataFrame(out, columns=["sequence_id", "offset"])
 
-    order = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "ids_crc32")
+    order = W.partitionBy("length", "bucket").orderBy("doc_id", "piece", "salt")
     placed = rest.withColumn("number", F.row_number().over(order)).withColumn("to", place("length", "bucket", "number"))
-    columns = [*cut.columns]
+    columns = [x for x in cut.columns if x != "salt"]
     return placed.select(*columns, "to.sequence_id", "to.offset").unionByName(full.select(*columns, "sequence_id", "offset"))
 
 

@@ -158,15 +158,15 @@ def shard_documents(docs: DataFrame, shards: int = 40) -> DataFrame:
     text = F.coalesce("text", F.lit(""))
     h = F.when(F.col("text").isNull(), F.lit(-1).cast("long")).otherwise(F.xxhash64("text"))
     size = F.octet_length(text).cast("long") + ROW_BYTES
-    rows = materialise(docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), h.alias("h")), "sized")
+    rows = materialise(docs.select("doc_id", size.alias("size"), F.crc32(text.cast("binary")).alias("text_crc32"), h.alias("h"), F.xxhash64("doc_id", h, F.monotonically_increasing_id()).alias("salt")), "sized")
     cuts, _ = cut_points(rows.select("h", "size"), shards)
     buckets = min(4096, max(64, rows.count() // 2_000_000))
-    put = rows.withColumns({"shard": shard_of(F.col("h"), cuts), "bucket": F.pmod(F.xxhash64("doc_id", "text_crc32"), F.lit(buckets)).cast("int")})
+    put = rows.withColumns({"shard": shard_of(F.col("h"), cuts), "bucket": F.pmod("salt", F.lit(buckets)).cast("int")})
     # a row per shard and bucket
     counts = put.groupBy("shard", "bucket").agg(F.count(F.lit(1)).alias("n"))
     before = W.partitionBy("shard").orderBy("bucket").rowsBetween(W.unboundedPreceding, -1)
     firsts = F.broadcast(counts.select("shard", "bucket", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("first")))
-    order = W.partitionBy("shard", "bucket").orderBy("doc_id", "h")
+    order = W.partitionBy("shard", "bucket").orderBy("doc_id", "salt")
     numbered = put.withColumn("number", F.row_number().over(order)).join(firsts, ["shard", "bucket"])
     return numbered.select("doc_id", "size", "text_crc32", "shard", (F.col("first") + F.col("number") - 1).alias("slot"))
 

@@ -4,7 +4,8 @@ Four differing bits leave at least one of five bit blocks untouched, so every li
 fingerprints that agree on a block.  Inside a bucket the sorted fingerprints are a binary trie: pairs of nodes
 walk down together, each step adds the bit in which they differ, and a pair whose sum passes the budget is cut
 off.  A bucket gives back the edges of a spanning star, not its pairs, so a group of copies costs its size.
-Buckets over ``HOT_BUCKET`` fingerprints are split, each within itself, by five further blocks of the bits still free.
+Buckets over ``HOT_BUCKET`` fingerprints are split, each within itself, by five further blocks of the bits still free,
+until none is larger or ``MOST_MASKS`` different masks have such buckets.
 
 Defined results: null, empty and blank texts have fingerprint zero and link like any other; repeated rows keep
 their own result; a null doc_id takes part but is never a component's id unless it has no other; further columns
@@ -20,11 +21,12 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomkv.llm.common import materialise, table
+from loomkv.llm.common import join_hot, materialise, table
 from loomkv.llm.graph import connected_components
 
 BUDGET = 4
 HOT_BUCKET = 20_000
+MOST_MASKS = 1000
 #: Fingerprints that one pass of the trie takes, and node pairs that it holds at a time.
 PASS_ROWS, FRONTIER = 200_000, 400_000
 
@@ -174,24 +176,26 @@ def _bucket_links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
 
 def links(distinct_fp: DataFrame, budget: int = BUDGET, hot: int = HOT_BUCKET) -> DataFrame:
     """(a, b): edges whose components are those of all pairs of ``fp`` within ``budget`` bits."""
-    assert budget == BUDGET, "the blocks are cut for a budget of four bits"
+    if budget != BUDGET:
+        raise ValueError("the blocks are cut for a budget of four bits")
     masks = {0: _blocks(list(range(64)), budget + 1)}
     rows = distinct_fp.select("fp", F.lit(0).cast("long").alias("mask"))
     ready = []
-    for _ in range(3):
+    while True:
         table_of = F.create_map(*(y for m, kids in masks.items() for y in (F.lit(_signed(m)).cast("long"), F.array(*(F.lit(_signed(m | k)).cast("long") for k in kids)))))
         rows = rows.select("fp", F.explode(F.element_at(table_of, F.col("mask"))).alias("mask")).withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
         large = materialise(rows.groupBy("mask", "key").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") > hot), "hot")
-        if not (n_large := large.count()):
+        free = {m: [b for b in range(64) if not m >> b & 1] for (m,) in large.select("mask").distinct().collect() if m is not None}
+        free = {m & (1 << 64) - 1: bits for m, bits in free.items()}
+        n_large = large.count()
+        if not n_large or len(free) * (budget + 1) > MOST_MASKS or any(len(bits) <= budget for bits in free.values()):
             break
         # at most rows / hot buckets are large, so the list of them is small beside the table
         large = F.broadcast(large.drop("n")) if n_large <= 100_000 else large.drop("n")
         ready.append(rows.join(large, ["mask", "key"], "left_anti").select("fp", "mask", "key"))
         rows = rows.join(large, ["mask", "key"], "left_semi").select("fp", "mask")
         # a bucket's mask holds all the bits agreed on so far
-        masks = {m | k: _blocks([b for b in range(64) if not (m | k) >> b & 1], budget + 1) for m, kids in masks.items() for k in kids}
-    else:
-        rows = rows.withColumn("key", F.col("fp").bitwiseAND(F.col("mask")))
+        masks = {m: _blocks(bits, budget + 1) for m, bits in free.items()}
     for x in ready:
         rows = rows.unionByName(x)
     dealt = rows.repartition("mask", "key").sortWithinPartitions("mask", "key", "fp")
@@ -207,8 +211,9 @@ def near_duplicates(docs: DataFrame, shingle: int = 4) -> DataFrame:
     classes = materialise(prints.groupBy("fp").agg(F.min("doc_id").alias("first_id"), F.count(F.lit(1)).alias("class_size")), "classes")
     roots = connected_components(links(classes.select("fp")))
     named = materialise(classes.join(roots, F.col("fp") == F.col("node"), "left").select("fp", "first_id", "class_size", F.coalesce("root", "fp").alias("root")), "named")
-    ids = named.groupBy("root").agg(F.min("first_id").alias("component_id"))
-    return prints.join(named.join(ids, "root"), "fp").select("doc_id", "digest", "fp", "root", "component_id", "class_size")
+    ids = materialise(named.groupBy("root").agg(F.min("first_id").alias("component_id"), F.count(F.lit(1)).alias("n")), "ids")
+    whole = materialise(join_hot(named, ids, "root", "n"), "components")
+    return join_hot(prints, whole, "fp", "class_size").select("doc_id", "digest", "fp", "root", "component_id", "class_size")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkv.llm import tokens
-from loomkv.llm.common import broadcast_if, parts_for, scratch, table
+from loomkv.llm.common import broadcast_if, parts_for, scratch, small_batches, table
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 256
@@ -134,7 +134,8 @@ def write_token_files(docs: DataFrame, where: str, path: str, end_id: int = 2, p
     n = parts or parts_for(docs)
     keyed = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", F.xxhash64("text").alias("tie"))
     ordered = keyed.repartitionByRange(n, "doc_id", "tie").sortWithinPartitions("doc_id", "tie").select("doc_id", "text")
-    ordered.mapInArrow(_blocks(path, end_id, block_ids), BLOCK_SCHEMA).write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(where)
+    with small_batches(docs.sparkSession):
+        ordered.mapInArrow(_blocks(path, end_id, block_ids), BLOCK_SCHEMA).write.option("parquet.block.size", 16 << 20).option("compression", "zstd").parquet(where)
 
 
 def block_documents(x: dict) -> tuple[list[int | None], np.ndarray, np.ndarray, np.ndarray]:

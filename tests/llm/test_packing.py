@@ -20,6 +20,31 @@ def test_plan_holds_every_piece_once(histogram):
     assert used == histogram
 
 
+def test_fit_is_the_least_squares_optimum():
+    """The conditions of the optimum hold: no pattern in use can gain, and none out of use would."""
+    rng = np.random.default_rng(8)
+    histogram = {k: int(rng.integers(1, 400)) for k in range(1, 64, 2)}
+    chosen = packing.patterns(sorted(histogram), 64)
+    x = packing.fit(histogram, chosen, sweeps=4000)
+    keys = {k: i for i, k in enumerate(histogram)}
+    a = np.zeros((len(keys), len(chosen)))
+    for j, p in enumerate(chosen):
+        for k, m in Counter(p).items():
+            a[keys[k], j] = m
+    slope = a.T @ (a @ x - np.array(list(histogram.values())))
+    assert (x >= 0).all() and slope.min() > -1.5 and np.abs(slope[x > 1]).max() < 1.5
+    # the number of sweeps in use comes near that optimum
+    loss = lambda x: float(((a @ x - np.array(list(histogram.values()))) ** 2).sum())
+    assert loss(packing.fit(histogram, chosen)) < loss(x) + 0.01 * loss(np.zeros(len(chosen)))
+
+
+def test_rows_alike_are_spread(spark):
+    docs = spark.createDataFrame([(7, "the same words")] * 500 + [(None, None)] * 40, "doc_id long, text string")
+    got = packing.pack_documents(docs).collect()
+    assert len({(r.sequence_id, r.offset) for r in got}) == len(got) == 540 and max(r.offset + r.length for r in got) <= 1024
+    assert packing.pack(packing.pieces(docs, tokens.tokenizer_path("byte_bpe_50k.json"))).columns == ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]
+
+
 def test_plan_is_close_to_the_bound():
     rng = np.random.default_rng(3)
     histogram = Counter(np.clip(rng.lognormal(5.5, 0.8, 200_000), 1, 1023).astype(int).tolist())
