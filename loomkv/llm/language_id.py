@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomkv.llm.common import materialise, table
+from loomkv.llm.common import join_hot, materialise, table
 
 #: The text models share about so many declared texts, but each language has at least MODEL_EACH (or all it has).
 MODEL_ROWS, MODEL_EACH = 3000, 100
@@ -80,10 +80,10 @@ def fit_text_models(rows: DataFrame) -> tuple[list[str], np.ndarray]:
 
 
 def host_priors(rows: DataFrame, langs: list[str]) -> DataFrame:
-    """(host, prior array over ``langs``): counts of declared languages smoothed by domain and by all rows."""
+    """(p_host, n_rows, prior array over ``langs``): counts of declared languages smoothed by domain and by all rows."""
     one = [F.sum((F.col("declared") == x).cast("double")).alias(f"c{i}") for i, x in enumerate(langs)]
     names = [f"c{i}" for i in range(len(langs))]
-    hosts = materialise(rows.groupBy("host").agg(*one).na.fill(0.0, names).withColumn("domain", domain_of(F.col("host"))), "hosts")
+    hosts = materialise(rows.groupBy("host").agg(*one, F.count(F.lit(1)).alias("n_rows")).na.fill(0.0, names).withColumn("domain", domain_of(F.col("host"))), "hosts")
     total = hosts.agg(*(F.sum(x) for x in names)).first()
     whole = sum(x or 0.0 for x in total)
     top = [((x or 0.0) + 1.0) / (whole + len(langs)) for x in total]
@@ -91,7 +91,7 @@ def host_priors(rows: DataFrame, langs: list[str]) -> DataFrame:
     n_d, n_h = sum(F.col(f"d{x}") for x in names), sum(F.col(x) for x in names)
     mid = [(F.col(f"dc{i}") + SMOOTHING * top[i]) / (n_d + SMOOTHING) for i in range(len(langs))]
     prior = F.array(*((F.col(f"c{i}") + SMOOTHING * mid[i]) / (n_h + SMOOTHING) for i in range(len(langs))))
-    return hosts.join(domains, F.col("domain").eqNullSafe(F.col("d"))).select(F.col("host").alias("p_host"), prior.alias("prior"))
+    return hosts.join(domains, F.col("domain").eqNullSafe(F.col("d"))).select(F.col("host").alias("p_host"), "n_rows", prior.alias("prior"))
 
 
 def identify(rows: DataFrame) -> DataFrame:
@@ -120,8 +120,9 @@ def identify(rows: DataFrame) -> DataFrame:
             yield pd.DataFrame(out, columns=["scores", "mean", "n", "letters"])
 
     small = materialise(rows.select("key", "declared", "host", likelihood("text").alias("t")), "likelihood")
-    # a row per host and, at most, as many as rows: the join picks its own way
-    joined = small.join(host_priors(small.select("declared", "host"), langs), F.col("host").eqNullSafe(F.col("p_host")), "left")
+    named = lambda df, host: df.withColumn("loomkv_host", F.coalesce(host, F.lit("\0")))
+    priors = materialise(named(host_priors(small.select("declared", "host"), langs), "p_host"), "priors")
+    joined = join_hot(named(small, "host"), priors, "loomkv_host", "n_rows")
     suffix_table = F.create_map(*(y for k, v in SUFFIXES.items() for y in (F.lit(k), F.lit(v))))
     suffix = F.element_at(suffix_table, F.coalesce(F.when(F.instr("host", ".") > 0, F.lower(F.substring_index("host", ".", -1))), F.lit("")))
 

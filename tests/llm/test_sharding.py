@@ -38,3 +38,17 @@ def test_groups_slots_and_sizes(spark):
     assert all(sorted(x) == list(range(len(x))) for x in slots.values()) and set(slots) <= set(range(40))
     assert sum(len(x) > 1 for x in crcs.values()) <= 1  # empty and null texts are two groups
     assert sharding.shard_documents(docs.limit(0)).count() == 0
+
+
+def test_written_shards(spark, tmp_path):
+    """Every row is in one folder, equal texts in the same, among them a very long one; the shards are those of the slots."""
+    rows = [(i, f"text {i % 40}" * (1 + i % 9)) for i in range(300)] + [(1, None), (2, ""), (3, "long " * 200_000), (4, "long " * 200_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sharding.write_shards(docs, f"file://{tmp_path}/s", shards=7)
+    got = [(r.doc_id, r.text, r.shard) for r in spark.read.parquet(f"file://{tmp_path}/s").collect()]
+    assert Counter((d, t) for d, t, _ in got) == Counter(rows)
+    where = {}
+    for _, t, s in got:
+        where.setdefault(t, set()).add(s)
+    assert all(len(x) == 1 for x in where.values()) and len({s for _, _, s in got}) <= 7
+    assert Counter((d, s) for d, _, s in got) == Counter((r.doc_id, r.shard) for r in sharding.shard_documents(docs, 7).collect())

@@ -25,7 +25,7 @@ def test_pieces_give_the_ids_of_the_whole_text(name, monkeypatch):
 
     coder = tokens.Encoder(tokens.tokenizer_path(name))
     texts = pq.read_table(f"{SF}/documents.parquet").column("text").to_pylist()[:300]
-    texts += ["", None, " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "x\n y", "x \ny", "tab\tb", "don't\nwe'll", "a\xa0b", "é ́x", "<|endoftext|> a <|endoftext|>", "ΑΣ ΣΑΣ\nİx", "a\x1cb", "a　b c", "q\r\nr", "z" * 500 + " z", "a×b÷c", "Привет мир 中文 字", "x\n\n\ny", "  lead", "'tis 's don't,'s"]
+    texts += ["", None, " ", "a", " a", "a ", "a  b", "a\nb", "a\n\nb", "x\n y", "x \ny", "tab\tb", "don't\nwe'll", "a\xa0b", "é ́x", "<|endoftext|> a <|endoftext|>", "ΑΣ ΣΑΣ\nİx", "a\x1cb", "a　b c", "q\r\nr", "z" * 500 + " z", "a×b÷c", "Привет мир 中文 字", "x\n\n\ny", "  lead", "'tis 's don't,'s", "very long text, 12 'words' é\n" * 30_000]
     whole = coder.tokenizer.encode_batch([t or "" for t in texts], add_special_tokens=False)
     want = [x.ids for x in whole]
     assert encoded(coder, texts) == want and encoded(coder, texts) == want
