@@ -90,7 +90,7 @@ def command_error(name: Column, n_args: Column) -> Column:
 
 
 def binary_response(op: Column, hit: Column, value: Column) -> Column:
-    return F.when(op == "GET", F.when(hit, value).otherwise("ERR NOT_FOUND")).when(op.isin("SET", "DEL"), "OK")
+    return F.when(op == "GET", F.when(hit, value).otherwise("ERR NOT_FOUND")).when(op.isin("SET", "DEL"), "OK").otherwise("ERR unknown operation")
 
 
 def byte_size(text: Column) -> Column:

@@ -20,6 +20,17 @@ def test_frames_round_trip(commands):
     assert [(op, key, value, ttl) for _, _, op, key, ttl, value, error in wire.decode_frames(data) if not error] == commands
 
 
+@given(st.lists(st.tuples(st.sampled_from(["GET", "SET", "DEL"]), st.binary(max_size=20), st.binary(max_size=40)), max_size=5), st.binary(max_size=6), st.integers(1, 9))
+def test_frames_from_a_slow_reader(commands, tail, step):
+    data = b"".join(wire.encode_frame(*c) for c in commands) + tail
+
+    class Slow(io.BytesIO):
+        def read(self, n=-1):
+            return super().read(min(n, step))
+
+    assert list(wire.read_frames(Slow(data))) == list(wire.decode_frames(data))
+
+
 def test_frame_errors():
     error = lambda b: list(wire.decode_frames(b))[-1][-1]
     assert error(b"\0\0") == "short read" and error(b"\0\0\0\0") == "zero length" and error(b"\0\0\0\x05\x02") == "short read"
