@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import atexit
 import contextlib
+import ctypes
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -48,6 +50,13 @@ ARROW_ROWS = 2000
 _ARROW = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
+def give_back() -> None:
+    """Return what Arrow and the C library hold free: a Python worker may wait long for its next task."""
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):  # other C libraries have no such call
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
+
+
 @contextlib.contextmanager
 def small_batches(spark: SparkSession):
     """Jobs that run inside send ``ARROW_ROWS`` rows at a time to Python workers."""

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loomkv.llm.common import join_hot, materialise, table
+from loomkv.llm.common import give_back, join_hot, materialise, table
 
 #: The text models share about so many declared texts, but each language has at least MODEL_EACH (or all it has).
 MODEL_ROWS, MODEL_EACH = 3000, 100
@@ -118,6 +118,7 @@ def identify(rows: DataFrame) -> DataFrame:
                 mean = total / len(c)
                 out.append(((mean * min(len(c), TEMPER)).astype(np.float32), float(mean.max()), len(c), any(map(str.isalpha, t[:256])) or any(map(str.isalpha, t))))
             yield pd.DataFrame(out, columns=["scores", "mean", "n", "letters"])
+        give_back()
 
     small = materialise(rows.select("key", "declared", "host", likelihood("text").alias("t")), "likelihood")
     named = lambda df, host: df.withColumn("loomkv_host", F.coalesce(host, F.lit("\0")))

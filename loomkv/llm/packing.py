@@ -26,7 +26,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from loomkv.llm import tokens
-from loomkv.llm.common import materialise, table
+from loomkv.llm.common import give_back, materialise, table
 
 CAPACITY = 1024
 MAX_PATTERNS = 4000
@@ -64,6 +64,7 @@ def pieces(docs: DataFrame, path: str, end_id: int = 2, capacity: int = CAPACITY
                 if keep_ids:
                     columns.append(pa.array([bytes(raw[x:y]) for x, y in spans], pa.binary()))
                 yield pa.RecordBatch.from_arrays(columns, names=names)
+        give_back()
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(cut, PIECES + ", ids binary" * keep_ids)
 

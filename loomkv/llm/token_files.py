@@ -23,7 +23,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkv.llm import tokens
-from loomkv.llm.common import broadcast_if, parts_for, scratch, small_batches, table
+from loomkv.llm.common import broadcast_if, give_back, parts_for, scratch, small_batches, table
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 256
@@ -125,6 +125,7 @@ def _blocks(path: str, end_id: int, block_ids: int):
                     size = 0
         if held:
             yield block()
+        give_back()
 
     return write
 
