@@ -27,7 +27,9 @@ _encoders: dict[str, Encoder] = {}
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _SIMPLE = re.compile(f" ?(?:[{_LETTERS}]+|[{_MARKS}]+)")
 
-_ODD, _SPACELIKE, _LETTER, _DIGIT, _PUNCT, _QUOTE, _SPACE, _BREAK, _BLANK = range(9)
+# classes are bits, so that sets of them are masks
+_SPACELIKE, _ODD, _LETTER, _DIGIT, _PUNCT, _QUOTE, _SPACE, _BREAK, _BLANK = (0, *(1 << i for i in range(8)))
+_WHITE, _SOLID, _PLAIN = (np.uint8(x) for x in (_SPACE | _BREAK | _BLANK, _ODD | _LETTER | _DIGIT | _PUNCT | _QUOTE, _LETTER | _DIGIT | _PUNCT))
 _ASCII_CLASS = [_LETTER if chr(x).isalpha() else _DIGIT if chr(x).isdigit() else _PUNCT if 32 < x < 127 else _SPACELIKE for x in range(128)]
 #: Class of a byte: a lead byte stands for the characters that it begins; 0x80 to 0xBF continue the byte before.
 _CLASS = np.array(_ASCII_CLASS + [_ODD] * 128, np.uint8)
@@ -37,13 +39,6 @@ _CLASS[0xC3] = _LETTER
 _CLASS[[0xC2, 0xE1, 0xE2, 0xE3]] = _SPACELIKE  # white space outside ASCII begins with one of these
 
 
-def _table(*classes: int) -> np.ndarray:
-    return np.isin(np.arange(9), classes)
-
-
-_WHITE, _SOLID, _PLAIN = _table(_SPACE, _BREAK, _BLANK), _table(_ODD, _LETTER, _DIGIT, _PUNCT, _QUOTE), _table(_LETTER, _DIGIT, _PUNCT)
-
-
 def tokenizer_path(name: str) -> str:
     import public_tokenizers
 
@@ -67,12 +62,12 @@ def classes(raw: np.ndarray) -> np.ndarray:
 def cuts(raw: np.ndarray, starts: np.ndarray) -> np.ndarray:
     """Ascending places where pieces begin; ``starts`` are the places where texts begin, all of them cuts."""
     c = classes(raw)
-    white, solid = _WHITE[c], _SOLID[c]
+    white, solid, plain = (c & _WHITE) != 0, (c & _SOLID) != 0, (c & _PLAIN) != 0
     after = np.append(solid[1:], False)
     after[starts[1:] - 1] = False  # nothing follows the last character of a text
     cut = np.zeros(len(raw), bool)
     # before white space, and before the last blank of a run of it, which goes with the word
-    cut[1:] = (solid[:-1] & white[1:]) | (_PLAIN[c[:-1]] & _PLAIN[c[1:]] & (c[1:] != c[:-1]))
+    cut[1:] = (solid[:-1] & white[1:]) | (plain[:-1] & plain[1:] & (c[1:] != c[:-1]))
     cut |= (c == _SPACE) & after
     # after a line feed that stands alone
     alone = np.append(True, solid[:-1])
