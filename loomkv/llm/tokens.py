@@ -188,7 +188,9 @@ class Encoder:
         rows = rows[pieces.indices.to_numpy()]
         n = self.length[rows]
         before = np.cumsum(n) - n
-        ids = self.flat[np.repeat(self.begin[rows] - before, n) + np.arange(int(n.sum()))]
+        place = np.repeat((self.begin[rows] - before).astype(np.int32), n)
+        place += np.arange(len(place), dtype=np.int32)
+        ids = self.flat[place]
         self.used = used
         if len(self.known) > CACHE_PIECES:
             self._clear()
