@@ -27,6 +27,8 @@ from loomkv.llm.common import broadcast_if, give_back, parts_for, scratch, small
 
 BLOCK_IDS = 1 << 20
 SAMPLE = 256
+#: Writing files is a job of its own, so its workers may hold more pieces than those of a pipeline.
+CACHE_PIECES = 500_000
 _CODE = "{0}_bits int, {0}_low binary, {0}_high binary, {0}_samples binary"
 BLOCK_SCHEMA = f"part int, block int, base long, n_docs long, n_nulls long, n_ids long, id_bytes int, first_doc long, ids binary, {_CODE.format('ends')}, {_CODE.format('docs')}"
 _TYPES = [{"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[x.split()[1]] for x in BLOCK_SCHEMA.split(", ")]
@@ -88,7 +90,7 @@ def _blocks(path: str, end_id: int, block_ids: int):
     names = [x.split()[0] for x in BLOCK_SCHEMA.split(", ")]
 
     def write(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = tokens.encoder(path)
+        coder = tokens.encoder(path, CACHE_PIECES)
         width = id_width(max(coder.size, end_id + 1))
         part, number, base = TaskContext.get().partitionId(), 0, 0
         held: list[np.ndarray] = []

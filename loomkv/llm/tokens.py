@@ -18,11 +18,11 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 
-#: Pieces that a worker's cache holds before it starts anew, and the longest piece that it keeps.
+#: Pieces that a worker's cache holds before it starts anew (about 200 bytes each), and the longest piece that it keeps.
 CACHE_PIECES, CACHE_BYTES = 200_000, 48
 #: Bytes and rows of text that are worked on at a time, whole texts.
 STEP_BYTES, STEP_ROWS = 4 << 20, 1024
-_encoders: dict[str, Encoder] = {}
+_encoders: dict[tuple[str, int | None], Encoder] = {}
 #: Letters and marks of which a piece is one token of both pre-tokenizers, whatever the version of Unicode.
 _LETTERS, _MARKS = "A-Za-zÀ-ÖØ-öø-ÿ", r"!-&(-/:-@\[-`{-~"
 _SIMPLE = re.compile(f" ?(?:[{_LETTERS}]+|[{_MARKS}]+)")
@@ -90,7 +90,8 @@ def slices(rows: pa.RecordBatch, column: str = "text") -> Iterator[pa.RecordBatc
 class Encoder:
     """Ids of texts as unsigned 32-bit integers."""
 
-    def __init__(self, path: str) -> None:
+    def __init__(self, path: str, cache_pieces: int | None = None) -> None:
+        self.cache_pieces = cache_pieces or CACHE_PIECES
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -192,7 +193,7 @@ class Encoder:
         place += np.arange(len(place), dtype=np.int32)
         ids = self.flat[place]
         self.used = used
-        if len(self.known) > CACHE_PIECES:
+        if len(self.known) > self.cache_pieces:
             self._clear()
         return ids, before[np.searchsorted(at, starts)]
 
@@ -217,8 +218,9 @@ class Encoder:
         return np.concatenate(out), counts
 
 
-def encoder(path: str) -> Encoder:
-    """One encoder for a path and worker."""
-    if path not in _encoders:
-        _encoders[path] = Encoder(path)
-    return _encoders[path]
+def encoder(path: str, cache_pieces: int | None = None) -> Encoder:
+    """One encoder for a path, size of cache and worker."""
+    key = path, cache_pieces
+    if key not in _encoders:
+        _encoders[key] = Encoder(*key)
+    return _encoders[key]
