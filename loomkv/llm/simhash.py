@@ -77,19 +77,25 @@ def _ranges(lo: np.ndarray, size: np.ndarray) -> np.ndarray:
     return np.arange(ends[-1] if len(ends) else 0) - np.repeat(ends - size - lo, size)
 
 
-def trie_links(bucket: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tuple[np.ndarray, np.ndarray]:
+def trie_links(bucket: np.ndarray, fp: np.ndarray, budget: int = BUDGET, frontier: int = FRONTIER) -> tuple[np.ndarray, np.ndarray]:
     """Star edges (place, root place) of the components under ``budget`` within each bucket.
 
-    ``bucket`` and ``fp`` (unsigned) are sorted together; a bucket holds each fingerprint once.
+    ``bucket`` and ``fp`` (unsigned, a word or a row of words each) are sorted together; a bucket holds each fingerprint once.
     """
     n = len(fp)
     label = np.arange(n)
     if n < 2:
         return label[:0], label[:0]
-    ones = [np.concatenate(([0], np.cumsum((fp >> np.uint64(63 - d)) & np.uint64(1), dtype=np.int64))) for d in range(64)] if n <= 4096 else None
+    words = [np.ascontiguousarray(w) for w in fp.reshape(n, -1).T]
+    depths = 64 * len(words)
+
+    def count_ones(d: int) -> np.ndarray:
+        return np.concatenate(([0], np.cumsum((words[d // 64] >> np.uint64(63 - d % 64)) & np.uint64(1), dtype=np.int64)))
+
+    ones = [count_ones(d) for d in range(depths)] if n <= 4096 else None
 
     def ones_at(d: int) -> np.ndarray:
-        return ones[d] if ones else np.concatenate(([0], np.cumsum((fp >> np.uint64(63 - d)) & np.uint64(1), dtype=np.int64)))
+        return ones[d] if ones else count_ones(d)
 
     edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
     lo, hi = edge[:-1], edge[1:]
@@ -100,12 +106,12 @@ def trie_links(bucket: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tupl
         change = np.concatenate(([0], np.cumsum(label[1:] != label[:-1])))
         done = (change[ahi - 1] == change[alo]) & (change[bhi - 1] == change[blo]) & (label[alo] == label[blo])
         alo, ahi, blo, bhi, diff = (x[~done] for x in (alo, ahi, blo, bhi, diff))
-        if len(alo) > FRONTIER:
+        if len(alo) > frontier:
             half = len(alo) // 2
             stack += [(depth, alo[half:], ahi[half:], blo[half:], bhi[half:], diff[half:]), (depth, alo[:half], ahi[:half], blo[:half], bhi[:half], diff[:half])]
             continue
         small = (ahi - alo) * (bhi - blo) <= 16
-        if depth == 64:
+        if depth == depths:
             small[:] = True
         if small.any():
             a0, a1, b0, b1 = (x[small] for x in (alo, ahi, blo, bhi))
@@ -113,7 +119,7 @@ def trie_links(bucket: np.ndarray, fp: np.ndarray, budget: int = BUDGET) -> tupl
             a = _ranges(a0, a1 - a0)
             width = (b1 - b0)[per_a]
             a, b = np.repeat(a, width), _ranges(b0[per_a], width)
-            near = (a < b) & (np.bitwise_count(fp[a] ^ fp[b]) <= budget)
+            near = (a < b) & (sum((np.bitwise_count(w[a] ^ w[b]) for w in words), np.uint16(0)) <= budget)
             _unite(label, a[near], b[near])
             alo, ahi, blo, bhi, diff = (x[~small] for x in (alo, ahi, blo, bhi, diff))
         if not len(alo):

@@ -1,7 +1,7 @@
 import numpy as np
 
 import corpus_pipeline
-from loomkv.llm import near_copies
+from loomkv.llm import near_copies, simhash
 
 
 def slow_set(text):
@@ -75,3 +75,48 @@ def test_shuffled_decisions_are_the_same(spark, monkeypatch):
     monkeypatch.setattr(corpus_pipeline, "BROADCAST_BYTES", -1)
     monkeypatch.setattr(corpus_pipeline.secrets, "BROADCAST_BYTES", -1)
     assert ask() == want
+
+
+def test_trie_of_long_fingerprints():
+    """Buckets of fingerprints of three words, joined under a budget of 58 bits, against all pairs."""
+    rng = np.random.default_rng(8)
+    fp = rng.integers(0, 2**64, (40, 3), dtype=np.uint64)
+    for _ in range(160):
+        x = fp[rng.integers(len(fp))].copy()
+        for b in rng.choice(192, rng.integers(20, 80), replace=False):
+            x[b // 64] ^= np.uint64(1) << np.uint64(b % 64)
+        fp = np.append(fp, x[None], axis=0)
+    bucket = np.sort(rng.integers(0, 3, len(fp)))
+    fp = fp[np.lexsort((*fp.T[::-1], bucket))]
+    up = np.arange(len(fp))
+    for i in range(len(fp)):
+        for j in range(i):
+            if bucket[i] == bucket[j] and np.bitwise_count(fp[i] ^ fp[j]).sum() <= 58:
+                up[up == up[i]] = up[j]
+    label = np.arange(len(fp))
+    a, root = simhash.trie_links(bucket, fp, 58, 10)
+    label[a] = root
+    assert 100 < len(set(up.tolist())) < 180 and len(set(zip(up.tolist(), label.tolist(), strict=True))) == len(set(up.tolist())) == len(set(label.tolist()))
+
+
+def test_fingerprints_bring_similar_pairs_together(spark, monkeypatch):
+    """Pairs at 0.8 exactly, of 4 to 400 shingles, meet among the candidates; also where buckets are split into cells."""
+    rng = np.random.default_rng(21)
+    texts = []
+    for i in range(240):
+        shared = (4, 8, 12, 40, 320)[i % 5]
+        words = [f"w{x}" for x in rng.integers(0, 10**6, shared + 4 + shared // 4)]
+        texts += [" ".join(words[: shared + 4]), " ".join(words)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    prints = near_copies.materialise(near_copies.signatures(docs))
+    name = {r.doc_id: r.set for r in prints.collect()}
+    classes = prints.select("set", "sig")
+    tiny = spark.createDataFrame([(name[i + 1], x) for i in range(0, 480, 10) for x in [name[i]]], "a long, b long")
+    for hot in (200_000, 1):
+        monkeypatch.setattr(near_copies, "HOT", hot)
+        root = {r.node: r.root for r in near_copies.candidates(classes, tiny).collect()}
+        assert all(root[name[i]] == root[name[i + 1]] for i in range(0, 480, 2)) and len(set(root.values())) == 240
+    less = {r.doc_id: r.less for r in prints.collect()}
+    assert all(name[i] in less[i + 1] for i in range(0, 480, 10)) and not less[2]
+    left = corpus_pipeline.keep_one_of_each_group(spark, docs.selectExpr("*", "'en' AS lang", "'s' AS source"), "")
+    assert sorted(r.doc_id for r in left.collect()) == list(range(0, 480, 2))
