@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loomkv.llm.common import join_hot, materialise, table
-from loomkv.llm.graph import connected_components
+from loomkv.llm.graph import connected_components, unite
 
 BUDGET = 4
 HOT_BUCKET = 20_000
@@ -120,7 +120,7 @@ def trie_links(bucket: np.ndarray, fp: np.ndarray, budget: int = BUDGET, frontie
             width = (b1 - b0)[per_a]
             a, b = np.repeat(a, width), _ranges(b0[per_a], width)
             near = (a < b) & (sum((np.bitwise_count(w[a] ^ w[b]) for w in words), np.uint16(0)) <= budget)
-            _unite(label, a[near], b[near])
+            unite(label, a[near], b[near])
             alo, ahi, blo, bhi, diff = (x[~small] for x in (alo, ahi, blo, bhi, diff))
         if not len(alo):
             continue
@@ -137,20 +137,6 @@ def trie_links(bucket: np.ndarray, fp: np.ndarray, budget: int = BUDGET, frontie
     return other, label[other]
 
 
-def _unite(label: np.ndarray, a: np.ndarray, b: np.ndarray) -> None:
-    """Join the components of each a and b in place; a label is its component's first place."""
-    while len(a):
-        x, y = label[a], label[b]
-        apart = x != y
-        a, b, x, y = a[apart], b[apart], x[apart], y[apart]
-        np.minimum.at(label, np.maximum(x, y), np.minimum(x, y))
-        while True:
-            up = label[label]
-            if (up == label).all():
-                break
-            label[:] = up
-
-
 def _bucket_links(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Star edges of the buckets of a partition that is sorted by bucket and fp."""
 

@@ -1,7 +1,7 @@
 import numpy as np
 import xxhash
 
-from loomkv.llm import simhash
+from loomkv.llm import graph, simhash
 from loomkv.llm.graph import connected_components
 
 
@@ -98,3 +98,30 @@ def test_components_of_a_long_chain(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(60)] + [(7, 7), (100, 90), (100, 90)], "a long, b long")
     got = {r.node: r.root for r in connected_components(edges).collect()}
     assert got == {**{i: 0 for i in range(61)}, 90: 90, 100: 90}
+
+
+def test_components_in_parts(spark, monkeypatch):
+    """Random graphs, solved in one task and in parts of a few edges, against all nodes that can be reached."""
+    rng = np.random.default_rng(17)
+    pairs = [(int(a), int(b)) for a, b in rng.integers(-150, 150, (130, 2))] + [(500 - i, 499 - i) for i in range(30)] + [(900, x) for x in range(600, 640)]
+    up = {x: x for e in pairs if e[0] != e[1] for x in e}
+    for _ in up:
+        for a, b in pairs:
+            if a != b:
+                up[a] = up[b] = min(up[a], up[b])
+    edges = spark.createDataFrame(pairs, "a long, b long")
+    for most in (graph.PART_EDGES, 7, 60):
+        monkeypatch.setattr(graph, "PART_EDGES", most)
+        rows = connected_components(edges).collect()
+        assert len(rows) == len(up) and {r.node: r.root for r in rows} == up
+        assert connected_components(edges.limit(0)).count() == 0
+
+
+def test_components_take_few_jobs(spark):
+    """Each job's plan, threads and broadcasts take memory of the driver."""
+    spark.sparkContext.setJobGroup("components", "")
+    edges = spark.createDataFrame([(i, i + 1) for i in range(500)], "a long, b long")
+    assert {r.root for r in connected_components(edges).collect()} == {0}
+    jobs = spark.sparkContext.statusTracker().getJobIdsForGroup("components")
+    spark.sparkContext.setJobGroup("others", "")
+    assert 0 < len(jobs) <= 10
