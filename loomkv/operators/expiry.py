@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from loomkv.functions.moments import epoch_micros, epoch_millis, has_zone, moment_of
 from loomkv.functions.routing import shard
 from loomkv.operators.asof import one, per_shard, resident, with_previous, with_removal
 
@@ -23,7 +24,7 @@ def registrations(log: DataFrame, interval_ms: int, slots: int, shards: int, cap
     if interval_ms <= 0 or slots <= 0:
         return registrations(log.limit(0), 1, 1, shards, capacity)
     t = log.filter((F.col("op") == "SET") & (F.col("ttl_ms") > 0))
-    tick = F.floor(F.unix_millis(F.col("ts").cast("timestamp")) / interval_ms)
+    tick = F.floor(epoch_millis(t, "ts") / interval_ms)
     rows = t.select("seq", "key", "ts", "ttl_ms", "expires_at", shard(F.col("key"), shards).alias("shard"), tick.alias("tick"), F.least(F.floor(F.col("ttl_ms") / interval_ms), F.lit(slots - 1)).alias("steps"))
     rows = rows.withColumns({"slot": F.pmod(F.col("tick") + F.col("steps"), F.lit(slots)).cast("int"), "fire_tick": F.col("tick") + F.col("steps") + 1})
     return rows.withColumn("overflow", F.row_number().over(W.partitionBy("shard", "fire_tick").orderBy("seq")) > capacity)
@@ -37,11 +38,11 @@ def events(log: DataFrame, interval_ms: int, slots: int, shards: int, probes: tu
     """
     fire = registrations(log, interval_ms, slots, shards, capacity).filter(~F.col("overflow"))
     none = F.lit(None)
-    moment = F.timestamp_millis(F.col("fire_tick") * interval_ms).cast("timestamp_ntz")
+    moment = moment_of(F.col("fire_tick") * interval_ms, has_zone(log, "ts"))
     fires = fire.select(moment.alias("ts"), F.lit(1).alias("kind"), "seq", F.lit("FIRE").alias("op"), "key", none.cast("string").alias("value"), none.cast("timestamp_ntz").alias("expires_at"), "fire_tick")
     commands = log.select("ts", F.lit(0).alias("kind"), "seq", "op", "key", "value", "expires_at", none.cast("long").alias("fire_tick"))
-    place = F.unix_micros(F.col("ts").cast("timestamp"))
-    return with_removal(with_previous(commands.unionByName(fires), BLOCK_US, ORDER, place), (*probes, "FIRE"), ORDER)
+    rows = commands.unionByName(fires)
+    return with_removal(with_previous(rows, BLOCK_US, ORDER, epoch_micros(rows, "ts")), (*probes, "FIRE"), ORDER)
 
 
 def _evicts() -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from loomkv.functions import replies
+from loomkv.functions.moments import epoch_micros
 from loomkv.functions.routing import shard
 from loomkv.functions.text import parse_sql
 from loomkv.operators import asof, crypto, expiry, memory, state
@@ -91,7 +92,7 @@ class Engine:
         """Append the log to the write-ahead log, if the settings keep one."""
         if not self.config.persist:
             return
-        ns = F.coalesce(F.unix_micros(F.col("expires_at").cast("timestamp")) * 1000, F.lit(0).cast("long"))
+        ns = F.coalesce(epoch_micros(self.log, "expires_at") * 1000, F.lit(0).cast("long"))
         rows = self.log.filter(F.col("op").isin("SET", "DEL")).select(shard(F.col("key"), self.shards).alias("shard"), "seq", "op", "key", "value", ns.alias("expiry_ns"))
         wal.write_wal(rows, self.config.data_dir, self.shards)
 

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from loomkv.functions import latency, replies
 from loomkv.functions import text as T
+from loomkv.functions.moments import epoch_micros
 from loomkv.functions.routing import fnv1a32, shard
 from loomkv.operators import asof, crypto, expiry, memory, state
 from loomkv.plans.log import EVENTS_SQL, from_events, from_orders, with_expiry
@@ -356,8 +357,10 @@ def latency_exact(spark, d):
 
 @query("SELECT count(*) AS n_commands, date_diff('second', min(ts), max(ts)) AS seconds, (count(*) * 1000 // date_diff('second', min(ts), max(ts)))::BIGINT AS per_1000_s FROM events")
 def throughput(spark, d):
-    s = F.floor(F.unix_seconds(F.max("ts").cast("timestamp"))) - F.floor(F.unix_seconds(F.min("ts").cast("timestamp")))
-    return from_events(spark, d).agg(F.count(F.lit(1)).alias("n_commands"), s.alias("seconds")).withColumn("per_1000_s", F.floor(F.expr("n_commands * 1000 div seconds")))
+    log = from_events(spark, d)
+    s = F.floor(epoch_micros(log, "ts") / 1_000_000)
+    s = F.max(s) - F.min(s)
+    return log.agg(F.count(F.lit(1)).alias("n_commands"), s.alias("seconds")).withColumn("per_1000_s", F.floor(F.expr("n_commands * 1000 div seconds")))
 
 
 @query("SELECT event_type, sum(CASE WHEN user_id % 3 = 0 THEN 1 ELSE 0 END)::DOUBLE AS c0, sum(CASE WHEN user_id % 3 = 1 THEN 1 ELSE 0 END)::DOUBLE AS c1, sum(CASE WHEN user_id % 3 = 2 THEN 1 ELSE 0 END)::DOUBLE AS c2 FROM events GROUP BY 1")
