@@ -6,7 +6,7 @@ import pytest
 from loomkv.plans import queries as q
 
 SF = "/root/testdata/sf0.001"
-NAMES = ["wheel_outcomes", "wheel_overflow"]
+NAMES = ["wheel_outcomes", "wheel_overflow", "wheel_slots"]
 
 
 @pytest.mark.parametrize("zone", ["America/Los_Angeles", "Asia/Kathmandu"])
