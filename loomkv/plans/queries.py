@@ -515,8 +515,8 @@ def resp_session(spark, d):
 
 @query(f"{LOG} SELECT seq, 2::INT AS kind, op, key, coalesce(ttl_ms, 0) AS ttl_ms, coalesce(value, '') AS value FROM log")
 def frame_roundtrip(spark, d):
-    """Commands as binary frames made by expressions, decoded by the table function."""
-    from loomkv.sources.wire import FrameTable
+    """Commands as binary frames made by expressions, decoded from the bytes."""
+    from loomkv.sources.wire import frames_of
 
     number = lambda n, width: F.unhex(F.lpad(F.hex(n), 2 * width, "0"))
     key, value = F.col("key").cast("binary"), F.coalesce("value", F.lit("")).cast("binary")
@@ -524,8 +524,7 @@ def frame_roundtrip(spark, d):
     body = F.concat(number(F.lit(2), 1), number(code, 1), number(F.octet_length("key"), 2), number(F.coalesce("ttl_ms", F.lit(0)), 8), key, value)
     rows = from_events(spark, d).withColumn("body", body)
     frames = rows.select("seq", F.concat(number(F.octet_length("body"), 4), F.col("body")).alias("frame"))
-    decoded = frames.lateralJoin(FrameTable(F.col("frame").outer()))
-    return decoded.select("seq", "kind", "op", F.col("key").cast("string").alias("key"), "ttl_ms", F.col("value").cast("string").alias("value"))
+    return frames_of(frames, "frame").select("seq", "kind", "op", F.col("key").cast("string").alias("key"), "ttl_ms", F.col("value").cast("string").alias("value"))
 
 
 _SQL["metrics_text"] = f"""WITH g AS ({_SQL["gauges_by_shard"]}), c AS ({_SQL["counters_engine"]}), x AS ({_SQL["crypto_bytes"]}),

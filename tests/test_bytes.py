@@ -174,3 +174,23 @@ def test_reports(spark, tmp_path):
     assert rows.count() == 9 and rows.filter("kind = 'gets' AND cpus = 16").first().ops == 60.0
     table = report.by_cpus(rows.filter("kind = 'totals'"), "ops", [4, 16, 32])
     assert [tuple(r) for r in table.collect()] == [("a", 30.0, 90.0, 0.0), ("b", 15.0, 0.0, 0.0)]
+
+
+def _blobs(spark, encode, broken):
+    """Blobs of none, one and many commands, torn and broken ones, a null; some rows hold more than a batch does."""
+    one = lambda i: encode(b"k%d" % i, b"v" * (i % 7))
+    blobs = [b"", None, one(1), one(1) + one(2), one(3) + one(4)[:-1], one(5) + broken, b"".join(map(one, range(50)))] * 5
+    return spark.createDataFrame([(i, f"n{i}", b) for i, b in enumerate(blobs)], "id long, name string, blob binary").coalesce(2)
+
+
+@pytest.mark.parametrize("rows,size", [(10_000, 1 << 20), (7, 1 << 20), (10_000, 20)])
+def test_frames_by_batches_are_those_of_the_table_function(spark, monkeypatch, rows, size):
+    monkeypatch.setattr(wire, "BATCH_ROWS", rows)
+    monkeypatch.setattr(wire, "BATCH_BYTES", size)
+    df = _blobs(spark, lambda k, v: wire.encode_frame("SET", k, v, 5), b"\0\0\0\0")
+    want = df.lateralJoin(wire.FrameTable(F.col("blob").outer())).drop("blob")
+    got = wire.frames_of(df, "blob")
+    assert got.dtypes == want.dtypes and "ArrowEvalPythonUDTF" not in got._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    with pytest.raises(ValueError):
+        wire.frames_of(df.withColumnRenamed("name", "key"), "blob")
