@@ -493,17 +493,16 @@ def _resp_frames(spark: SparkSession, d: str) -> DataFrame:
 
 def _resp_commands(spark: SparkSession, d: str) -> DataFrame:
     """The log again, from the bytes: parsed arguments, then the options of SET."""
-    from loomkv.sources.wire import RespTable
+    from loomkv.sources.wire import resp_of
 
     at = lambda i: F.get("args", F.lit(i)).cast("string")
-    rows = _resp_frames(spark, d).lateralJoin(RespTable(F.col("frame").outer()))
-    rows = rows.select("seq", "ts", F.upper(at(0)).alias("op"), at(1).alias("key"), at(2).alias("value"), T.set_ttl(F.size("args"), at(3), at(4)).alias("o"))
+    rows = resp_of(_resp_frames(spark, d), "frame").select("seq", "ts", F.upper(at(0)).alias("op"), at(1).alias("key"), at(2).alias("value"), T.set_ttl(F.size("args"), at(3), at(4)).alias("o"))
     return with_expiry(rows.select("seq", "ts", "op", "key", "value", F.when(F.col("op") == "SET", F.col("o.ttl_ms")).alias("ttl_ms")))
 
 
 @query(f"{LOG} SELECT seq, op, key, value, ttl_ms FROM log")
 def wire_roundtrip(spark, d):
-    """Commands as RESP arrays, SETs with their options, parsed back by the table function."""
+    """Commands as RESP arrays, SETs with their options, parsed back from the bytes."""
     return _resp_commands(spark, d).select("seq", "op", "key", "value", "ttl_ms")
 
 

@@ -194,3 +194,22 @@ def test_frames_by_batches_are_those_of_the_table_function(spark, monkeypatch, r
     assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
     with pytest.raises(ValueError):
         wire.frames_of(df.withColumnRenamed("name", "key"), "blob")
+
+
+@pytest.mark.parametrize("rows,size", [(10_000, 1 << 20), (7, 1 << 20), (10_000, 20)])
+def test_commands_by_batches_are_those_of_the_table_function(spark, monkeypatch, rows, size):
+    monkeypatch.setattr(wire, "BATCH_ROWS", rows)
+    monkeypatch.setattr(wire, "BATCH_BYTES", size)
+    bulk = lambda *args: b"*%d\r\n" % len(args) + b"".join(b"$%d\r\n%b\r\n" % (len(a), a) for a in args)
+    df = _blobs(spark, lambda k, v: bulk(b"SET", k, v), b"GET k\r\n")
+    want = df.lateralJoin(wire.RespTable(F.col("blob").outer())).drop("blob")
+    got = wire.resp_of(df, "blob")
+    assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+
+
+@pytest.mark.parametrize("name", ["wire_roundtrip"])
+def test_queries_decode_by_batches(spark, name):
+    from loomkv.plans import queries as q
+
+    plan = q.queries()[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "UDTF" not in plan
