@@ -207,7 +207,7 @@ def test_commands_by_batches_are_those_of_the_table_function(spark, monkeypatch,
     assert got.dtypes == want.dtypes and sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
 
 
-@pytest.mark.parametrize("name", ["wire_roundtrip"])
+@pytest.mark.parametrize("name", ["wire_roundtrip", "resp_session"])
 def test_queries_decode_by_batches(spark, name):
     from loomkv.plans import queries as q
 
