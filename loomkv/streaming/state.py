@@ -1,4 +1,7 @@
-"""The key/value state kept by Structured Streaming, one state value per key with event-time timers.
+"""The key/value state kept by Structured Streaming, a state value with an event-time timeout for each bucket of keys.
+
+A call of Python takes milliseconds, so one is made for a bucket and not for a key; in turn a batch writes the entries of
+all buckets anew that it touches.
 
 Rows may come late by ``delay`` at most: the watermark is the latest timestamp seen in the batches before, less
 ``delay``, and rows that are older than it are dropped, in whichever batch they come.  Within that bound the order of
@@ -11,73 +14,68 @@ from __future__ import annotations
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from loomkv.functions.moments import epoch_micros, epoch_millis
 from loomkv.plans.log import commands
 from loomkv.sources.folders import shared_dir
 
 OUT = "key string, seq long, op string, value string, expires_ms long"
+COLUMNS = [x.split()[0] for x in OUT.split(", ")]
+ENTRIES = "key array<string>, seq array<long>, op array<string>, ts_ms array<long>, value array<string>, expires_ms array<long>"
+#: Keys are dealt out to so many buckets, a state value each; a checkpoint is bound to their number.
+BUCKETS = 4096
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
 
 
-class KeyState(StatefulProcessor):
-    """Emits an entry at each change and ``EXPIRED`` when its timer finds it over; a stale timer does nothing."""
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.handle = handle
-        self.entry = handle.getValueState("entry", "seq long, op string, ts_ms long, value string, expires_ms long")
+def bucket_changes(bucket: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """The entries of a bucket's keys that change, and ``EXPIRED`` for those whose end the watermark has passed.
 
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        watermark = timerValues.getCurrentWatermarkInMs()
-        last = None
-        for part in rows:
+    ``state`` holds a list for each field of ``ENTRIES``; the timeout is the first end among them.
+    """
+    watermark = state.getCurrentWatermarkMs()
+    held = {x[0]: x for x in zip(*state.get, strict=True)} if state.exists else {}
+    new: dict[str, tuple] = {}
+    if not state.hasTimedOut:
+        for part in parts:
             part = part[part["ts_ms"] >= watermark]
-            if len(part) and (last is None or part["seq"].max() > last["seq"]):
-                last = part.loc[part["seq"].idxmax()]
-        known = self.entry.get() if self.entry.exists() else None
-        if last is None or (known is not None and known[0] > last["seq"]):
-            return
-        seq, ts = int(last["seq"]), int(last["ts_ms"])
-        expires = None if pd.isna(last["expires_ms"]) else int(last["expires_ms"])
-        self.entry.update((seq, last["op"], ts, last["value"], expires))
-        if last["op"] == "DEL":
-            self.handle.registerTimer(ts + 1)
-        elif expires is not None:
-            self.handle.registerTimer(expires + 1)
-        yield self._row(key, seq, last["op"], last["value"], expires)
-
-    def _row(self, key, *values) -> pd.DataFrame:
-        return pd.DataFrame([(key[0], *values)], columns=[x.split()[0] for x in OUT.split(", ")]).astype({"expires_ms": "Int64"})
-
-    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:  # noqa: N802, N803
-        if not self.entry.exists():
-            return
-        seq, op, ts, value, expires = self.entry.get()
-        moment = expiredTimerInfo.getExpiryTimeInMs()
-        if op == "DEL":
-            if ts < moment:
-                self.entry.clear()
-        elif expires is not None and expires < moment:
-            self.entry.clear()
-            yield self._row(key, seq, "EXPIRED", value, expires)
-
-    def close(self) -> None:
-        pass
+            expires = part["expires_ms"].astype("Int64").astype(object)
+            fields = (part["key"], part["seq"], part["op"], part["ts_ms"], part["value"], expires.where(expires.notna(), None))
+            for row in zip(*(x.tolist() for x in fields), strict=True):
+                if row[0] not in new or row[1] > new[row[0]][1]:
+                    new[row[0]] = row
+    new = {key: row for key, row in new.items() if key not in held or held[key][1] <= row[1]}
+    held |= new
+    out = [(key, seq, op, value, expires) for key, seq, op, _, value, expires in new.values()]
+    ends = {key: ts if op == "DEL" else expires for key, _, op, ts, _, expires in held.values()}
+    over = [held.pop(key) for key, end in ends.items() if end is not None and end < watermark]
+    out += [(key, seq, "EXPIRED", value, expires) for key, seq, op, _, value, expires in over if op != "DEL"]
+    if not held:
+        state.remove()
+    elif new or over:
+        state.update(tuple(map(list, zip(*held.values(), strict=True))))
+    first = min((ends[key] for key in held if ends[key] is not None), default=None)
+    if first is not None:
+        state.setTimeoutTimestamp(max(first, 1))  # each call clears the one before
+    if out:
+        yield pd.DataFrame(out, columns=COLUMNS, dtype=object)
 
 
 def stream_state(log: DataFrame, delay: str = "0 seconds") -> DataFrame:
     """Change stream of the state of a streaming log (seq, ts, op, key, value, expires_at).
 
-    Needs the RocksDB state store: ``spark.sql.streaming.stateStore.providerClass``.
+    The RocksDB state store keeps it out of the heap: ``spark.sql.streaming.stateStore.providerClass``.
     """
-    ms = lambda c: F.unix_millis(F.col(c).cast("timestamp"))
-    rows = log.withColumn("ts", F.col("ts").cast("timestamp")).withWatermark("ts", delay)
+    log = log.withColumns({"ts_ms": epoch_millis(log, "ts"), "expires_ms": epoch_millis(log, "expires_at")})
+    rows = log.withColumn("ts", F.timestamp_micros(epoch_micros(log, "ts"))).withWatermark("ts", delay)
     # GETs move the watermark but don't reach the state
-    changes = rows.filter(F.col("op").isin("SET", "DEL")).select("seq", "ts", ms("ts").alias("ts_ms"), "op", "key", "value", ms("expires_at").alias("expires_ms"))
-    return changes.groupBy("key").transformWithStateInPandas(KeyState(), OUT, "Update", "EventTime")
+    changes = rows.filter(F.col("op").isin("SET", "DEL")).select("seq", "ts", "ts_ms", "op", "key", "value", "expires_ms")
+    changes = changes.withColumn("bucket", F.pmod(F.xxhash64("key"), F.lit(BUCKETS)))
+    return changes.groupBy("bucket").applyInPandasWithState(bucket_changes, OUT, ENTRIES, "update", GroupStateTimeout.EventTimeTimeout)
 
 
 def read_commands(spark: SparkSession, folder: str, schema, max_bytes: str | None = None, max_files: int | None = None) -> DataFrame:

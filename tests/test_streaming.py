@@ -77,3 +77,20 @@ def test_rates(spark, log_files, tmp_path):
     want = {(r.window.start, r.op): r.n for r in op_rates(batch, "1 second", "0 seconds").collect()}
     got = collect(spark, op_rates(stream, "1 second", "0 seconds"), "rates", "complete", f"file://{tmp_path}/c2")
     assert {(r.window.start, r.op): r.n for r in got} == want and sum(want.values()) == 9
+
+
+@pytest.mark.parametrize("buckets", [1, 3])
+def test_keys_of_a_bucket_share_a_call(spark, monkeypatch, buckets):
+    """The query of the streamed state against its SQL with all keys in one bucket, or in few."""
+    import duckdb
+
+    from loomkv.plans import queries as q
+    from loomkv.streaming import state as streamed
+
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(streamed, "BUCKETS", buckets)
+    got = q.queries()["stream_state"](spark, sf)
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW events AS SELECT * FROM '{sf}/events.parquet'")
+    want = con.execute(f"SELECT {', '.join(got.columns)} FROM ({q.oracle_sql()['stream_state']})").fetchall()
+    assert sorted(map(str, map(tuple, got.collect()))) == sorted(map(str, want))
